@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tickloom.functions.timebase import TPS, col, fdiv
+from tickloom.session import cut_lineage
 
 TIME_CHUNK = 600 * TPS
 INDEX_CHUNK = 4096
@@ -128,7 +129,7 @@ def islands(df: DataFrame, keys, order, starts: Column, name: str = "island", ch
     return scan(df, keys, order, chunk, **{name: sum_upto(F.when(starts, 1).otherwise(0).cast("long"))})
 
 
-def orbit(df: DataFrame, keys: Sequence[str], pos: str = "pos", nxt: str = "nxt", chunk: int = 8192, levels: int = 2) -> DataFrame:
+def orbit(df: DataFrame, keys: Sequence[str], pos: str = "pos", nxt: str = "nxt", chunk: int = 8192, levels: int = 1) -> DataFrame:
     """Positions visited by the walk ``pos -> nxt`` from the least position of each key.
 
     Left-to-right greedy rules become such a walk once every row knows where the next choice would
@@ -137,10 +138,10 @@ def orbit(df: DataFrame, keys: Sequence[str], pos: str = "pos", nxt: str = "nxt"
     walked on its own. ``nxt`` must be a larger position that exists, or null at the end.
     """
     keys = list(keys)
-    base = df.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(nxt).cast("long").alias("_n"))
+    base = cut_lineage(df.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(nxt).cast("long").alias("_n")))
     firsts = base.groupBy(*keys).agg(F.min("_p").alias("_p"))
     hits = _walk(base, firsts, keys, chunk, levels)
-    return df.join(hits.select(*keys, F.col("_p").alias(pos)), [*keys, pos], "left_semi")
+    return hits.select(*keys, F.col("_p").alias(pos))
 
 
 def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, levels: int) -> DataFrame:
@@ -148,7 +149,7 @@ def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, leve
     key_types = [base.schema[k] for k in keys]
     schema = T.StructType([*key_types, T.StructField("_p", T.LongType()), T.StructField("_n", T.LongType())])
     reached = T.StructType([*key_types, T.StructField("_p", T.LongType())])
-    chunked = base.withColumn("_c", cut("_p"))
+    chunked = base.withColumn("_c", cut("_p") if levels > 0 else F.lit(0).cast("long"))
     if levels > 0:
         crossed = chunked.filter(cut("_n") > F.col("_c")).select(*keys, F.col("_n").alias("_p")).union(entries.select(*keys, "_p")).distinct()
         gates = crossed.withColumn("_g", F.lit(True))

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tickloom.functions.text import normal, normal_str, tokens
 from tickloom.functions.timebase import TPS, col, idiv, round_half_away, scaled, snap, snap_nearest, snap_up
@@ -79,7 +79,8 @@ def find_fillers(words: DataFrame, ft, fillers: Sequence[str] = FILLERS) -> Data
         probe = best.select(*KEY, (F.col("first") + F.col("n")).alias("p"), F.lit(0).alias("k"), F.col("first").alias("me"), F.lit(None).cast("long").alias("at"))
         stops = best.select(*KEY, F.col("first").alias("p"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("me"), F.col("first").alias("at"))
         seen = scan(probe.unionByName(stops), KEY, ["p", "k"], INDEX_CHUNK, nxt=first_from("at")).filter("k = 0")
-        best = orbit(best.join(seen.select(*KEY, F.col("me").alias("first"), "nxt"), [*KEY, "first"]), KEY, "first", "nxt").drop("nxt")
+        taken = orbit(seen.select(*KEY, F.col("me").alias("first"), "nxt"), KEY, "first", "nxt")
+        best = best.join(taken, [*KEY, "first"], "left_semi")
     best = best.withColumn("last", F.col("first") + F.col("n") - 1)
     w = words.select(*KEY, "idx", "start", "end")
     near = scan(w, KEY, ["idx"], INDEX_CHUNK, pe=prev("end"), ns=following("start"))
@@ -165,7 +166,7 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
         return pd.DataFrame({KEY[0]: pdf[KEY[0]].iloc[:mine], "pos": idx[:mine], "nxt": pd.array(out, dtype="Int64")})
 
     jumps = spread.groupBy(*KEY, "_c").applyInPandas(solve, words.select(*KEY, F.col("idx").alias("pos"), F.col("idx").alias("nxt")).schema)
-    heads = orbit(jumps, KEY, chunk=chunk).select(*KEY, F.col("pos").alias("idx"), F.lit(True).alias("_h"))
+    heads = orbit(jumps, KEY).select(*KEY, F.col("pos").alias("idx"), F.lit(True).alias("_h"))
     tagged = scan(w.join(heads, [*KEY, "idx"], "left"), KEY, ["idx"], chunk, block=last_upto(F.when(F.col("_h"), F.col("idx"))))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
     fold = F.aggregate(
@@ -192,19 +193,20 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
 
 def voice_chunks(words: DataFrame, gap: int = TPS // 4, longest: int = 4 * TPS, shortest: int = TPS * 7 // 10) -> DataFrame:
     """Word runs for speaker analysis: split at pauses and by length, short runs joined backwards."""
-    w = scan(words.select(*KEY, "idx", "start", "end"), KEY, ["idx"], INDEX_CHUNK, pe=prev("end"))
+    base = words.select(*KEY, "idx", "start", "end")
+    w = scan(base, KEY, ["idx"], INDEX_CHUNK, pe=prev("end"))
     w = scan(w, KEY, ["idx"], INDEX_CHUNK, _pause=first_after(F.when(F.col("start") - F.col("pe") >= gap, F.col("idx"))))
     none = F.lit(None).cast("long")
-    probe = w.select(*KEY, (F.col("start") + longest).alias("t"), F.lit(1).alias("k"), "idx", none.alias("at"))
-    ends = w.select(*KEY, F.col("end").alias("t"), F.lit(0).alias("k"), "idx", F.col("idx").alias("at"))
-    far = scan(probe.unionByName(ends), KEY, ["t", "k", "idx"], _far=first_from("at")).filter("k = 1").select(*KEY, "idx", "_far")
+    probe = base.select(*KEY, (F.col("start") + longest).alias("t"), F.lit(1).alias("k"), "idx", none.alias("at"))
+    ends = base.select(*KEY, F.col("end").alias("t"), F.lit(0).alias("k"), "idx", F.col("idx").alias("at"))
+    far = scan(probe.unionByName(ends), KEY, ["t", "k", "idx"], _far=first_from("at")).filter("k = 1")
     # a word longer than the limit still stands alone
-    far = far.withColumn("_far", F.greatest("_far", F.col("idx") + 1))
-    w = w.join(far, [*KEY, "idx"]).withColumn("nxt", F.least("_pause", "_far"))
-    top = w.groupBy(*KEY).agg(F.max("idx").alias("_top"))
-    w = w.join(top, KEY).withColumn("nxt", F.when(F.col("nxt") <= F.col("_top"), F.col("nxt"))).drop("_top")
-    heads = orbit(w, KEY, "idx", "nxt").select(*KEY, F.col("idx"), F.lit(1).alias("_h"))
-    tagged = scan(w.select(*KEY, "idx", "start", "end").join(heads, [*KEY, "idx"], "left"), KEY, ["idx"], INDEX_CHUNK, c=last_upto(F.when(F.col("_h") == 1, F.col("idx"))))
+    far = far.select(*KEY, "idx", F.when(F.col("_far") > F.col("idx"), F.col("_far")).when(F.col("_far").isNotNull(), F.col("idx") + 1).alias("_far"))
+    top = base.groupBy(*KEY).agg(F.max("idx").alias("_top"))
+    w = w.join(far, [*KEY, "idx"]).join(top, KEY).withColumn("nxt", F.least("_pause", "_far"))
+    w = w.withColumn("nxt", F.when(F.col("nxt") <= F.col("_top"), F.col("nxt")))
+    heads = orbit(w, KEY, "idx", "nxt").withColumn("_h", F.lit(1))
+    tagged = scan(base.join(heads, [*KEY, "idx"], "left"), KEY, ["idx"], INDEX_CHUNK, c=last_upto(F.when(F.col("_h") == 1, F.col("idx"))))
     c = tagged.groupBy(*KEY, "c").agg(F.max("idx").alias("last"), F.min("start").alias("start"), F.max_by("end", "idx").alias("end"))
     c = scan(c, KEY, ["c"], INDEX_CHUNK, g=sum_upto(F.when(F.col("end") - F.col("start") >= shortest, 1).otherwise(0).cast("long")), n=sum_before(F.lit(1).cast("long")))
     # a short first run forms its own group 0 and then joins the second
@@ -260,7 +262,6 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-@F.pandas_udf("long")
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(list(x), list(y)) for x, y in zip(a, b)])
 
@@ -268,7 +269,7 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def word_error_rate(pairs: DataFrame) -> DataFrame:
     """``(doc_id, reference, hypothesis)`` -> errors, reference words and rate per document."""
     t = pairs.select("doc_id", tokens("reference").alias("r"), tokens("hypothesis").alias("h"))
-    t = t.select("doc_id", F.size("r").cast("long").alias("words"), F.size("h").alias("_h"), _distance("r", "h").alias("errors"))
+    t = t.select("doc_id", F.size("r").cast("long").alias("words"), F.size("h").alias("_h"), F.pandas_udf(_distance, T.LongType())("r", "h").alias("errors"))
     rate = F.when(F.col("words") > 0, F.col("errors") / F.col("words")).when(F.col("_h") == 0, 0.0).otherwise(1.0)
     return t.select("doc_id", "words", "errors", rate.alias("wer"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 TPS = 254_016_000_000
 MS = 254_016_000
+MSB = "254016000::BIGINT"
 
 
 def fdiv(a: str, b: str) -> str:
@@ -53,12 +54,12 @@ TABLES = {
     "points": ([], "SELECT event_id, user_id, event_type, value, props, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 254016 AS t FROM events"),
     "markers": (["points"], "SELECT user_id AS owner_id, event_id AS marker_id, t AS start, CAST(0 AS BIGINT) AS duration, event_type AS name, props AS comment FROM points WHERE event_type = 'click'"),
     "tokens": ([], r"""SELECT conv_id, turn, role, unnest(regexp_split_to_array(text, '\s+')) AS text, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS pos FROM conversations"""),
-    "timed": (["tokens"], f"""SELECT *, greatest(120, length(text) * 60) * {MS} AS dur, CASE WHEN regexp_matches(text, '[.!?]$') THEN 900 ELSE 40 END * {MS} AS gap FROM tokens WHERE text <> ''"""),
+    "timed": (["tokens"], f"""SELECT *, greatest(120, length(text) * 60) * {MSB} AS dur, CASE WHEN regexp_matches(text, '[.!?]$') THEN 900 ELSE 40 END * {MSB} AS gap FROM tokens WHERE text <> ''"""),
     "words": (["timed"], """SELECT conv_id AS sequence_id, conv_id AS item_id, row_number() OVER w - 1 AS idx, text,
         CAST(sum(dur + gap) OVER w - dur - gap AS BIGINT) AS start, CAST(sum(dur + gap) OVER w - gap AS BIGINT) AS "end", role AS speaker FROM timed
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn, pos)"""),
     "doclines": ([], r"""SELECT doc_id, [x for x in string_split(text, chr(10)) if trim(x) <> ''] AS ls FROM documents"""),
-    "captions": (["doclines"], f"""SELECT track_id, track_id * 1000000 + pos AS caption_id, pos * CAST(2200 AS BIGINT) * {MS} AS start, CAST(2000 AS BIGINT) * {MS} AS duration, trim(text) AS text
+    "captions": (["doclines"], f"""SELECT track_id, track_id * 1000000 + pos AS caption_id, pos * CAST(2200 AS BIGINT) * {MSB} AS start, CAST(2000 AS BIGINT) * {MSB} AS duration, trim(text) AS text
         FROM (SELECT doc_id AS track_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS pos FROM doclines)"""),
     "keyframes": (["points"], """SELECT user_id AS owner_id, t AS time, arg_max(value, event_id) AS value,
         CASE WHEN max(event_id) % 3 = 1 THEN 'hold' WHEN max(event_id) % 6 = 2 THEN 'bezier' ELSE 'linear' END AS interp FROM points GROUP BY user_id, t"""),
