@@ -45,7 +45,7 @@ def timecode_audit(rows: DataFrame, num: int, den: int, drop: bool) -> DataFrame
     parts = F.when(bare, pairs).otherwise(F.transform(split, lambda p: F.when(p == "", "0").otherwise(p)))
     nums = F.transform(parts, lambda p: p.try_cast("long"))
     good = (F.size(nums) <= 4) & F.forall(nums, lambda x: x.isNotNull())
-    r = rows.withColumn("_p", F.when(good, F.concat(F.array_repeat(F.lit(0).cast("long"), 4 - F.size(nums)), nums)))
+    r = rows.withColumn("_p", F.when(good, F.concat(F.slice(F.array(*[F.lit(0).cast("long")] * 4), F.lit(1), 4 - F.size(nums)), nums)))
     h, m, s, f = (F.col("_p")[i] for i in range(4))
     small = df & (m < 60) & (s < 60) & (f < base)
     r = r.withColumn("frames", F.when(F.col("_p").isNotNull(), fields_to_frames(h, m, s, f, base, small)))
