@@ -90,14 +90,14 @@ def close_up(rows: DataFrame, ranges: DataFrame, keys=SEQ) -> DataFrame:
 
 def ripple_delete_ranges(clips: DataFrame, ranges: DataFrame, keys=SEQ) -> tuple[DataFrame, DataFrame]:
     """Remove ranges and close them: one pass over merged ranges. Second result: time removed per sequence."""
-    cut = merge_ranges(ranges.filter("end > start"), keys)
+    cut = cut_lineage(merge_ranges(ranges.filter("end > start"), keys))
     total = cut.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("removed"))
     return close_up(lift(clips, cut, keys), cut, keys), total
 
 
 def caption_extract(captions: DataFrame, ranges: DataFrame, keys=SEQ) -> DataFrame:
     """Captions under an extract: inside ones go, straddling ones are joined over the cut."""
-    cut = merge_ranges(ranges.filter("end > start"), keys)
+    cut = cut_lineage(merge_ranges(ranges.filter("end > start"), keys))
     c = removed_before(with_end(captions), cut, keys, "start").withColumnRenamed("_rm", "_a")
     c = removed_before(c, cut, keys, "end").withColumns({"start": F.col("start") - F.col("_a"), "end": F.col("end") - F.col("_rm")})
     return c.withColumn("duration", F.col("end") - F.col("start")).filter("duration > 0").drop("_a", "_rm", "end")
@@ -153,10 +153,10 @@ def ripple_delete_items(clips: DataFrame, ids: DataFrame, tracks: DataFrame) ->
     hit = c.filter(gone).select(*TRACK).distinct().withColumn("_aff", F.lit(True))
     c = c.join(hit, TRACK, "left").withColumn("_aff", F.coalesce("_aff", F.lit(False)))
     open_ = c.filter("_aff and not locked")
-    spans = range_except(open_.filter(gone).select(*SEQ, "start", "end"), open_.filter(~gone).select(*SEQ, "start", "end"), SEQ)
+    spans = cut_lineage(range_except(open_.filter(gone).select(*SEQ, "start", "end"), open_.filter(~gone).select(*SEQ, "start", "end"), SEQ))
     away = overlap_join(spans, c.filter("not _aff and not locked and sync_lock").select(*SEQ, F.col("start").alias("b_start"), F.col("end").alias("b_end")), SEQ).select(*SEQ).distinct()
     stuck = hit.select(*SEQ).distinct().join(spans.select(*SEQ).distinct(), SEQ, "left_anti")
-    conflicts = away.withColumn("reason", F.lit("sync lock")).unionByName(stuck.withColumn("reason", F.lit("nothing closes")))
+    conflicts = cut_lineage(away.withColumn("reason", F.lit("sync lock")).unionByName(stuck.withColumn("reason", F.lit("nothing closes"))))
     refused = conflicts.select(*SEQ).distinct()
     ok = c.join(refused, SEQ, "left_anti").filter(~(gone & ~F.col("locked")))
     movable = F.col("_aff") | F.col("sync_lock")

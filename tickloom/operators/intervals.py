@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.timebase import TPS, col, fdiv
+from tickloom.session import cut_lineage
 from tickloom.operators.ordered import TIME_CHUNK, following, islands, last_upto, max_before, prev, scan
 
 LEVELS = (10 * TPS, 600 * TPS, 36_000 * TPS)
@@ -70,11 +71,11 @@ def gaps(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     return s.filter(F.col(start) > covered).select(*keys, covered.alias("gap_start"), F.col(start).alias("gap_end"))
 
 
-def merge_ranges(ranges: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", slack=0) -> DataFrame:
+def merge_ranges(ranges: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", slack=0, chunk=TIME_CHUNK) -> DataFrame:
     """Union of ranges that overlap, touch, or lie at most ``slack`` apart."""
-    s = scan(ranges.select(*keys, start, end), keys, [start, end], _cov=max_before(end))
+    s = scan(ranges.select(*keys, start, end), keys, [start, end], chunk, _cov=max_before(end))
     fresh = F.col("_cov").isNull() | (F.col(start) > F.col("_cov") + col(slack))
-    s = islands(s, keys, [start, end], fresh)
+    s = islands(s, keys, [start, end], fresh, chunk=chunk)
     return s.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
@@ -96,7 +97,8 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], ident: Sequence[st
     ``ident`` names the columns that identify an ``a`` row.
     """
     ident = [*keys, *[c for c in ident if c not in keys]]
-    cut = merge_ranges(b, keys).withColumnsRenamed({"start": "b_start", "end": "b_end"})
+    # the merged ranges are read by both halves of the scan below: cut them off once
+    cut = cut_lineage(merge_ranges(b, keys)).withColumnsRenamed({"start": "b_start", "end": "b_end"})
     a = a.filter(F.col("end") > F.col("start"))
     holes = overlap_join(a, cut, keys).drop("b_start", "b_end")
     walls = holes.unionByName(a.withColumns({"lo": F.col("end"), "hi": F.col("end")}))
@@ -105,7 +107,7 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], ident: Sequence[st
 
 
 def range_except(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    left = merge_ranges(a, keys)
+    left = cut_lineage(merge_ranges(a, keys))
     return subtract(left, b, keys, ["start"]).select(*keys, F.col("lo").alias("start"), F.col("hi").alias("end"))
 
 

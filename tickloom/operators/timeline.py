@@ -50,7 +50,8 @@ def timecode_audit(rows: DataFrame, num: int, den: int, drop: bool) -> DataFrame
     small = df & (m < 60) & (s < 60) & (f < base)
     r = r.withColumn("frames", F.when(F.col("_p").isNotNull(), fields_to_frames(h, m, s, f, base, small)))
     r = r.withColumn("label", timecode("frames", base, df))
-    pad = F.array_join(F.transform("_p", lambda x: F.lpad(x.cast("string"), 2, "0")), F.when(df, ";").otherwise(":"))
+    two = F.transform("_p", lambda x: F.lpad(x.cast("string"), 2, "0"))
+    pad = F.when(df, F.array_join(two, ";")).otherwise(F.array_join(two, ":"))
     r = r.withColumn("invalid", F.col("_p").isNull() | (pad != F.col("label")))
     r = scan(r, ["reel"], ["seq"], INDEX_CHUNK, _hi=max_before("frames"))
     dup = rows.join(r.select("reel", "seq", "frames"), ["reel", "seq"]).groupBy("reel", "frames").agg(F.count("*").alias("_n"))

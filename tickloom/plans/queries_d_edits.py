@@ -54,7 +54,7 @@ def ripple_delete_ranges(spark, d):
     return pick(ed.ripple_delete_ranges(fx.clips(spark, d), ranges(spark, d))[0])
 
 
-CAPR = """cr AS (SELECT track_id, caption_id, start - 254016000 * 300 AS start, start + CAST(254016000 AS BIGINT) * 900 AS "end" FROM captions WHERE caption_id % 4 = 1), """ + sql_merge("cr", "cm", "track_id")
+CAPR = """cr AS (SELECT track_id, caption_id, start - 254016000 * 300::BIGINT AS start, start + CAST(254016000 AS BIGINT) * 900 AS "end" FROM captions WHERE caption_id % 4 = 1), """ + sql_merge("cr", "cm", "track_id")
 
 
 @query("caption_ripple", using("captions", f""", {CAPR}, e AS (SELECT *, start + duration AS "end" FROM captions),
@@ -66,9 +66,9 @@ def caption_ripple(spark, d):
     return ed.caption_extract(c, r, ["track_id"]).select("track_id", "caption_id", "start", "duration")
 
 
-@query("caption_insert", using("captions", """, ins AS (SELECT track_id, start + 254016000 * 700::BIGINT AS at, 254016000 * 1500::BIGINT AS delta FROM captions WHERE caption_id % 5 = 2), e AS (SELECT *, start + duration AS "end" FROM captions),
-w AS (SELECT e.*, at AS t FROM e JOIN ins USING (track_id) WHERE e.start < at AND at < e."end" UNION ALL SELECT *, "end" FROM e), p AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY caption_id ORDER BY t), start) AS lo FROM w)
-SELECT track_id, caption_id AS origin, CAST(lo + coalesce((SELECT sum(delta) FROM ins i WHERE i.track_id = p.track_id AND i.at <= lo), 0) AS BIGINT) AS start, t - lo AS duration FROM p"""))
+@query("caption_insert", using("captions", """, ins AS (SELECT track_id, start + 254016000 * 700::BIGINT AS pt, 254016000 * 1500::BIGINT AS delta FROM captions WHERE caption_id % 5 = 2), e AS (SELECT *, start + duration AS "end" FROM captions),
+w AS (SELECT e.*, pt AS t FROM e JOIN ins USING (track_id) WHERE e.start < pt AND pt < e."end" UNION ALL SELECT *, "end" FROM e), p AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY caption_id ORDER BY t), start) AS lo FROM w)
+SELECT track_id, caption_id AS origin, CAST(lo + coalesce((SELECT sum(delta) FROM ins i WHERE i.track_id = p.track_id AND i.pt <= lo), 0) AS BIGINT) AS start, t - lo AS duration FROM p"""))
 def caption_insert(spark, d):
     c = fx.captions(spark, d)
     ins = c.filter("caption_id % 5 = 2").select("track_id", (F.col("start") + 700 * fx.MS).alias("at"), F.lit(1500 * fx.MS).alias("delta"))
@@ -91,10 +91,10 @@ def placements(spark, d):
     return c.select("sequence_id", "track_id", "clip_id", "item_id", (F.col("start") + 2 * F.col("ft")).alias("start"), (10 * F.col("ft")).alias("duration"), "source_in", "speed", "reverse", "frame_hold", "ft", F.col("clip_id").alias("edit_id"), F.col("rn").alias("ord"))
 
 
-@query("insert", using("spans", f""", {TRK}, {PLC}, mv AS (SELECT k.track_id, p.start AS at, p.duration AS delta, p.edit_id FROM pl p JOIN tk k ON k.sequence_id = p.sequence_id AND NOT k.locked AND (k.sync_lock OR k.track_id = p.track_id)),
-w AS (SELECT s.*, at AS t FROM spans s JOIN (SELECT DISTINCT track_id, at FROM mv) m ON m.track_id = s.track_id WHERE s.start < at AND at < s."end" UNION ALL SELECT *, "end" FROM spans), p AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY clip_id ORDER BY t), start) AS lo, t AS hi FROM w)
-SELECT sequence_id, track_id, clip_id AS origin, CAST(lo + coalesce((SELECT sum(delta) FROM mv WHERE mv.track_id = p.track_id AND at <= lo), 0) AS BIGINT) AS start, hi - lo AS duration, {PIECE} AS source_in FROM p
-UNION ALL SELECT sequence_id, track_id, clip_id, CAST(start + coalesce((SELECT sum(delta) FROM mv WHERE mv.track_id = pl.track_id AND at < pl.start), 0) AS BIGINT), duration, source_in FROM pl"""))
+@query("insert", using("spans", f""", {TRK}, {PLC}, mv AS (SELECT k.track_id, p.start AS pt, p.duration AS delta, p.edit_id FROM pl p JOIN tk k ON k.sequence_id = p.sequence_id AND NOT k.locked AND (k.sync_lock OR k.track_id = p.track_id)),
+w AS (SELECT s.*, pt AS t FROM spans s JOIN (SELECT DISTINCT track_id, pt FROM mv) m ON m.track_id = s.track_id WHERE s.start < pt AND pt < s."end" UNION ALL SELECT *, "end" FROM spans), p AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY clip_id ORDER BY t), start) AS lo, t AS hi FROM w)
+SELECT sequence_id, track_id, clip_id AS origin, CAST(lo + coalesce((SELECT sum(delta) FROM mv WHERE mv.track_id = p.track_id AND pt <= lo), 0) AS BIGINT) AS start, hi - lo AS duration, {PIECE} AS source_in FROM p
+UNION ALL SELECT sequence_id, track_id, clip_id, CAST(start + coalesce((SELECT sum(delta) FROM mv WHERE mv.track_id = pl.track_id AND pt < pl.start), 0) AS BIGINT), duration, source_in FROM pl"""))
 def insert(spark, d):
     return pick(ed.insert(fx.clips(spark, d).select(BASE), placements(spark, d), tracks(spark, d)))
 
