@@ -286,8 +286,7 @@ def _bezier_ease(x1: Column, y1: Column, x2: Column, y2: Column, u: Column) -> C
         left = cubic(mid, box["x1"], box["x2"]) < box["u"]
         return F.struct(F.when(left, mid).otherwise(acc["lo"]).alias("lo"), F.when(left, acc["hi"]).otherwise(mid).alias("hi"))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    return cubic(end, y1, y2)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, halve, lambda acc: cubic((acc["lo"] + acc["hi"]) / 2, box["y1"], box["y2"]))
 
 
 def keyframe_values(keyframes: DataFrame, times: DataFrame, keys=("owner_id",), chunk=TIME_CHUNK) -> DataFrame:

@@ -92,7 +92,7 @@ def ripple_delete_ranges(clips: DataFrame, ranges: DataFrame, keys=SEQ) -> tuple
     """Remove ranges and close them: one pass over merged ranges. Second result: time removed per sequence."""
     cut = cut_lineage(merge_ranges(ranges.filter("end > start"), keys))
     total = cut.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("removed"))
-    return close_up(lift(clips, cut, keys), cut, keys), total
+    return close_up(cut_lineage(lift(clips, cut, keys)), cut, keys), total
 
 
 def caption_extract(captions: DataFrame, ranges: DataFrame, keys=SEQ) -> DataFrame:
@@ -122,7 +122,8 @@ def insert(clips: DataFrame, placements: DataFrame, tracks: DataFrame) -> DataFr
     at = placements.groupBy(*SEQ, "edit_id").agg(F.min("start").alias("at"), F.max(F.col("start") + F.col("duration")).alias("_e")).withColumn("delta", F.col("_e") - F.col("at"))
     targets = placements.select(*TRACK, "edit_id").distinct().withColumn("_hit", F.lit(True))
     moved = at.join(tracks.filter("not locked").select(*TRACK, "sync_lock"), SEQ).join(targets, [*TRACK, "edit_id"], "left").filter("sync_lock or _hit").select(*TRACK, "at", "delta")
-    cut = razor(clips, moved.withColumnRenamed("at", "t"))
+    moved = cut_lineage(moved)
+    cut = cut_lineage(razor(clips, moved.withColumnRenamed("at", "t")))
     body = shift_by(cut, moved, TRACK)
     # a placement moves with every earlier insert of its track, not with its own
     own = placements.join(at.select(*SEQ, "edit_id", "at"), [*SEQ, "edit_id"]).withColumns({"origin": F.col("clip_id"), "_off": F.col("start") - F.col("at"), "_key": F.col("at") - 1})

@@ -141,7 +141,7 @@ def orbit(df: DataFrame, keys: Sequence[str], pos: str = "pos", nxt: str = "nxt"
     base = cut_lineage(df.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(nxt).cast("long").alias("_n")))
     firsts = base.groupBy(*keys).agg(F.min("_p").alias("_p"))
     hits = _walk(base, firsts, keys, chunk, levels)
-    return hits.select(*keys, F.col("_p").alias(pos))
+    return cut_lineage(hits.select(*keys, F.col("_p").alias(pos)))
 
 
 def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, levels: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from math import atan2, degrees, sqrt
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tickloom.functions import color as cl
 from tickloom.functions.timebase import col, fdiv, idiv
@@ -34,12 +36,17 @@ def rgb_histogram(pixels: DataFrame, matrix: str = "709", clamp: bool = False) -
     """256-bin counts per frame and channel; bin -1 / 256 hold what lies below / above (also put in
     the end bins when clamped)."""
     y, _, _ = cl.ycbcr("r", "g", "b", matrix)
-    p = _spread(pixels, {"R": [F.col("r")], "G": [F.col("g")], "B": [F.col("b")], "Y": [y]}, False).filter(~F.isnan("v"))
-    v = F.col("v")
-    inside = v.between(0.0, 1 + 1e-6)
-    b = F.when(inside, F.least(_round(v * 255), F.lit(255))).when(v < 0, -1).otherwise(256)
-    bins = F.array(b, *([F.when(b == -1, 0).when(b == 256, 255)] if clamp else []))
-    return p.select("frame_id", F.col("trace").alias("ch"), F.explode(F.array_compact(bins)).alias("bin")).groupBy("frame_id", "ch", "bin").agg(F.count("*").alias("n"))
+    codes = []
+    for k, v in enumerate((F.col("r"), F.col("g"), F.col("b"), y)):
+        b = F.when(v.between(0.0, 1 + 1e-6), F.least(_round(v * 255), F.lit(255))).when(v < 0, -1).when(v > 1, 256)
+        b = F.when(~F.isnan(v), b)
+        codes.append(b + k * 300)
+        if clamp:
+            codes.append(F.when(b == -1, F.lit(k * 300)).when(b == 256, F.lit(k * 300 + 255)))
+    # one integer per count keeps the hash table narrow; names come back after the aggregation
+    n = pixels.select("frame_id", F.explode(F.array_compact(F.array(*codes))).alias("code")).groupBy("frame_id", "code").agg(F.count("*").alias("n"))
+    k = idiv(F.col("code") + 1, F.lit(300)).cast("int")
+    return n.select("frame_id", F.element_at(F.array(*[F.lit(c) for c in "RGBY"]), k + 1).alias("ch"), (F.col("code") - k * 300).cast("int").alias("bin"), "n")
 
 
 def _cells(pixels: DataFrame, traces: dict, rows: int, lo: float, hi: float, clamp: bool) -> DataFrame:
@@ -213,11 +220,23 @@ def frame_signatures(pixels: DataFrame, w: int, h: int) -> DataFrame:
     cell = idiv(F.col("y") * GRID_H, F.lit(h)) * GRID_W + idiv(F.col("x") * GRID_W, F.lit(w))
     grid = p.groupBy("frame_id", cell.cast("int").alias("i")).agg((F.avg(luma) / 255).alias("v"), F.count("*").alias("n"))
     hist = p.select("frame_id", F.explode(F.array(*[idiv(v8[c] * BINS, F.lit(256)).cast("int") + k * BINS for k, c in enumerate("rgb")])).alias("i")).groupBy("frame_id", "i").agg(F.count("*").alias("v"))
-    g = grid.groupBy("frame_id").agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_g"))
-    k = hist.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v")))).alias("_h"))
-    full = lambda m, size: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0.0)))
-    j = g.join(k, "frame_id")
-    return j.select("frame_id", full("_g", GRID_W * GRID_H).alias("grid"), F.transform(full("_h", 3 * BINS), lambda v: v / F.col("_n")).alias("hist"))
+    g = grid.groupBy("frame_id").agg(F.sum("n").alias("_n"), F.collect_list(F.struct("i", "v")).alias("_g"))
+    k = hist.groupBy("frame_id").agg(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("_h"))
+    full = lambda c, size: F.pandas_udf(_dense(size), T.ArrayType(T.DoubleType()))(F.col(c)["i"], F.col(c)["v"])
+    j = g.join(k, "frame_id").select("frame_id", full("_g", GRID_W * GRID_H).alias("grid"), full("_h", 3 * BINS).alias("_h"), "_n")
+    return j.select("frame_id", "grid", F.transform("_h", lambda v: v / F.col("_n")).alias("hist"))
+
+
+def _dense(size: int):
+    def fill(index: pd.Series, value: pd.Series) -> pd.Series:
+        out = []
+        for i, v in zip(index, value):
+            row = np.zeros(size)
+            row[i] = v
+            out.append(row)
+        return pd.Series(out)
+
+    return fill
 
 
 def signature_distance(grid_a, hist_a, grid_b, hist_b) -> Column:

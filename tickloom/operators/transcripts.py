@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tickloom.functions.text import normal, normal_str, tokens
 from tickloom.functions.timebase import TPS, col, idiv, round_half_away, scaled, snap, snap_nearest, snap_up
 from tickloom.operators.intervals import merge_ranges, overlap_join
+from tickloom.session import cut_lineage
 from tickloom.operators.ordered import (
     INDEX_CHUNK, first_after, first_from, following, islands, last_upto, max_upto, orbit, prev, scan, sum_before, sum_upto,
 )
@@ -75,6 +76,7 @@ def find_fillers(words: DataFrame, ft, fillers: Sequence[str] = FILLERS) -> Data
     """Filler words and phrases, longest first and never overlapping, with their removal ranges."""
     phrases = [t for t in ([x for x in map(normal_str, f.split()) if x] for f in fillers) if t]
     best = _hits(words, [(" ".join(t), t) for t in phrases], False).groupBy(*KEY, "first").agg(F.max("n").alias("n"))
+    best = cut_lineage(best)
     if max(map(len, phrases)) > 1:
         probe = best.select(*KEY, (F.col("first") + F.col("n")).alias("p"), F.lit(0).alias("k"), F.col("first").alias("me"), F.lit(None).cast("long").alias("at"))
         stops = best.select(*KEY, F.col("first").alias("p"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("me"), F.col("first").alias("at"))
@@ -82,10 +84,11 @@ def find_fillers(words: DataFrame, ft, fillers: Sequence[str] = FILLERS) -> Data
         taken = orbit(seen.select(*KEY, F.col("me").alias("first"), "nxt"), KEY, "first", "nxt")
         best = best.join(taken, [*KEY, "first"], "left_semi")
     best = best.withColumn("last", F.col("first") + F.col("n") - 1)
-    w = words.select(*KEY, "idx", "start", "end")
-    near = scan(w, KEY, ["idx"], INDEX_CHUNK, pe=prev("end"), ns=following("start"))
-    j = best.join(near.select(*KEY, F.col("idx").alias("first"), F.col("start").alias("_s"), "pe"), [*KEY, "first"])
-    j = j.join(near.select(*KEY, F.col("idx").alias("last"), F.col("end").alias("_e"), "ns"), [*KEY, "last"])
+    # a hit needs its own first and last word and the word on either side: one equi join
+    asked = best.select(*KEY, "first", "last", F.posexplode(F.array(F.col("first") - 1, F.col("first"), F.col("last"), F.col("last") + 1)).alias("_k", "idx"))
+    got = asked.join(words.select(*KEY, "idx", "start", "end"), [*KEY, "idx"])
+    at = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    j = got.groupBy(*KEY, "first", "last").agg(at(0, "end").alias("pe"), at(1, "start").alias("_s"), at(2, "end").alias("_e"), at(3, "start").alias("ns"))
     s, e = snap_nearest("_s", ft), snap_nearest("_e", ft)
     s = F.when(F.col("pe") > s, snap("pe", ft) + col(ft)).otherwise(s)
     e = F.when(e > F.col("ns"), snap("ns", ft)).otherwise(e)
@@ -94,7 +97,7 @@ def find_fillers(words: DataFrame, ft, fillers: Sequence[str] = FILLERS) -> Data
 
 def removable_time(words: DataFrame, least: int, keep: int, ft, fillers: Sequence[str] = FILLERS) -> DataFrame:
     """Pauses and fillers of each recording, merged, and what is left of it."""
-    cut = find_pauses(words, least, keep, ft).unionByName(find_fillers(words, ft, fillers).select(*KEY, "start", "end"))
+    cut = cut_lineage(find_pauses(words, least, keep, ft).unionByName(find_fillers(words, ft, fillers).select(*KEY, "start", "end")))
     merged = merge_ranges(cut, KEY).groupBy(*KEY).agg(F.count("*").alias("ranges"), F.sum(F.col("end") - F.col("start")).alias("removed"))
     whole = words.groupBy(*KEY).agg(F.max("end").alias("length"))
     got = whole.join(merged, KEY, "left").na.fill(0, ["ranges", "removed"])
@@ -141,19 +144,20 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        size = pdf["text"].str.len().to_numpy()
-        stop = pdf["text"].str.endswith((".", "?", "!")).to_numpy()
+        size = pdf["text"].str.len().tolist()
+        stop = pdf["text"].str.endswith((".", "?", "!")).tolist()
         s, e = pdf["start"].to_numpy(), pdf["end"].to_numpy()
         who = pdf["speaker"].fillna("\0").to_numpy()
         idx, c = pdf["idx"].to_numpy(), int(pdf["_c"].iloc[0])
         hard = np.ones(len(idx), bool)
         hard[1:] = (who[1:] != who[:-1]) | (s[1:] - e[:-1] >= break_pause)
-        mine = int((idx < (c + 1) * chunk).sum())
+        mine, total = int((idx < (c + 1) * chunk).sum()), len(idx)
+        s, e, hard = s.tolist(), e.tolist(), hard.tolist()
         out = []
         for a in range(mine):
-            cur, used, row = int(size[a]), int(size[a]), 1
+            cur, used, row = size[a], size[a], 1
             i = a + 1
-            while i < len(idx):
+            while i < total:
                 fits = cur + 1 + size[i] <= max_chars
                 if hard[i] or not (fits or row < lines) or e[i] - s[a] > max_duration or (stop[i - 1] and (used + row - 1) * 2 >= room):
                     break
@@ -179,6 +183,7 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
     b = tagged.groupBy(*KEY, "block").agg(
         F.max("idx").alias("last"), F.min("start").alias("_s"), F.max_by("end", "idx").alias("_e"), F.max("speaker").alias("speaker"), fold["t"].alias("text")
     )
+    b = cut_lineage(b)
     fd, gap = F.lit(ft), F.lit(ft * max(gap_frames, 0))
     b = b.withColumns({"_s": snap("_s", fd), "_e": F.greatest(snap_up("_e", fd), snap("_s", fd) + fd)})
     # a start pushed by its predecessors: start_i = max over j <= i of start_j + (i - j) * (frame + gap)
