@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tickloom.plans import fixtures as fx
+from tickloom.plans.queries_c_catalog import sql_tc
 from tickloom.plans.registry import query
 from tickloom.plans.sqltables import MS, using
 from tickloom.session import shared_folder
@@ -172,3 +173,28 @@ def read_media(spark, d):
     req = fx.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("long").alias("lo"), (F.col("p_size") * 2 + 100).cast("long").alias("hi"))
     s = md.read_media(req, ramp, "stream_id long, ch int, n long, x double")
     return s.groupBy("stream_id").agg(F.count("*").alias("rows"), F.round(F.sum("x"), 6).alias("total"))
+
+
+def sql_clock(t: str, sep: str) -> str:
+    ms = f"(({t} + {MS // 2}) // {MS})"
+    two = lambda x: f"lpad(CAST({x} AS VARCHAR), 2, '0')"
+    return f"{two(f'{ms} // 3600000')} || ':' || {two(f'{ms} // 60000 % 60')} || ':' || {two(f'{ms} // 1000 % 60')} || '{sep}' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
+
+
+@query("write_captions", using("captions", f"""SELECT track_id, row_number() OVER w - 1 AS pos, (row_number() OVER w) || chr(10) || {sql_clock('start', ',')} || ' --> ' || {sql_clock('(start + duration)', ',')} || chr(10) || text || chr(10) AS line FROM captions WINDOW w AS (PARTITION BY track_id ORDER BY start, caption_id)"""))
+def write_captions(spark, d):
+    return sc.write_captions(fx.captions(spark, d))
+
+
+@query("write_ale", using("items media", f"""SELECT project_id, i.item_id AS pos, name || chr(9) || CASE WHEN i.item_id % 3 = 0 THEN '' ELSE 'V' END || 'A1A2' || chr(9) || {sql_tc(f'(start_timecode // {F25})', 25)} || chr(9) || {sql_tc(f'((start_timecode + duration) // {F25})', 25)} || chr(9) || chr(9) || path || chr(9) || m_type AS line FROM items i JOIN media m USING (item_id)
+UNION ALL SELECT DISTINCT project_id, -1::BIGINT, 'Heading' || chr(10) || 'FIELD_DELIM' || chr(9) || 'TABS' || chr(10) || 'VIDEO_FORMAT' || chr(9) || '1080' || chr(10) || 'AUDIO_FORMAT' || chr(9) || '48khz' || chr(10) || 'FPS' || chr(9) || '25' || chr(10) || chr(10) || 'Column' || chr(10) || 'Name' || chr(9) || 'Tracks' || chr(9) || 'Start' || chr(9) || 'End' || chr(9) || 'Tape' || chr(9) || 'Source File' || chr(9) || 'type' || chr(10) || chr(10) || 'Data' FROM items"""))
+def write_ale(spark, d):
+    m = fx.media(spark, d).withColumns({"has_video": F.col("item_id") % 3 != 0, "channels": F.lit(2)})
+    return ic.write_ale(fx.items(spark, d), m, 25, 1, ("type",))
+
+
+@query("write_edl_cuts", using("clips media", f"""SELECT track_id, pos, CASE WHEN pos = 0 THEN 'TITLE: track ' || track_id || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || chr(10) ELSE '' END || lpad(CAST(pos + 1 AS VARCHAR), greatest(3, length(CAST(pos + 1 AS VARCHAR)))::INT, '0') || '  ' || rpad(left(upper(regexp_replace(regexp_replace(regexp_extract(coalesce(path, 'AX'), '[^/]*$'), '\\.[^.]*$', ''), '[^A-Za-z0-9_]', '', 'g')), 8), 8, ' ')
+ || ' ' || CASE WHEN kind = 'video' THEN 'V    ' ELSE 'A    ' END || ' C        ' || {sql_tc('s0', 25)} || ' ' || {sql_tc('s1', 25)} || ' ' || {sql_tc('r0', 25)} || ' ' || {sql_tc('r1', 25)} || chr(10) || '* FROM CLIP NAME: ' || name AS line
+FROM (SELECT c.track_id, c.kind, c.name, m.path, row_number() OVER (PARTITION BY track_id ORDER BY start, clip_id) - 1 AS pos, start // ft AS r0, (start + c.duration) // ft AS r1, source_in // ft + coalesce(start_timecode // {F25}, 0) AS s0, source_in // ft + CAST(c.duration // ft * speed AS BIGINT) + coalesce(start_timecode // {F25}, 0) AS s1 FROM clips c LEFT JOIN media m USING (item_id))"""))
+def write_edl_cuts(spark, d):
+    return ic.write_edl_cuts(on25(spark, d), fx.media(spark, d), 25, 1)[0]
