@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.timebase import col, snap_nearest
 from tickloom.operators.ordered import following, islands, max_before, prev, scan, sum_before
+from tickloom.session import cut_lineage
 
 MS = 254_016_000
 
@@ -23,6 +24,7 @@ def normalize_cues(cues: DataFrame, key: str = "track_id", ft=None) -> tuple[Dat
     order = ["start", "end", "cue_id"]
     s = scan(cues, [key], order, _cov=max_before("end"), _ps=prev("start"), _nx=following("start"))
     s = islands(s, [key], order, F.col("_cov").isNull() | (F.col("start") >= F.col("_cov")))
+    s = cut_lineage(s)
     twins = s.filter(F.col("_ps") == F.col("start")).select(key, "island").distinct()
     plain = s.join(twins, [key, "island"], "left_anti").withColumn("end", F.least("end", F.coalesce("_nx", "end")))
     cols = [c for c in cues.columns]

@@ -430,7 +430,7 @@ def multicam_record(clips: DataFrame, cuts: DataFrame, ends: DataFrame) -> DataF
     hit = item_at(probe, spans, key, "_t", "p0", "p1", "_s")
     cut = hit.withColumn("angle", F.coalesce(F.col("_s.pa"), F.col("angle"))).drop("_s", "_t", "_a0")
     cut = cut.join(last.select(*key, F.col("t0").alias("_r0"), F.col("end_time").alias("_r1")), key, "left")
-    c = _with_prev(cut)
+    c = _with_prev(cut_lineage(cut))
     p_ = F.col("_p")
     heal = F.coalesce(
         (p_["end"] == F.col("start")) & (p_["item_id"] == F.col("item_id")) & p_["angle"].eqNullSafe(F.col("angle")) & (p_["speed"] == F.col("speed")) & ~p_["reverse"] & ~F.col("reverse")

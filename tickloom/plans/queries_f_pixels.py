@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import color as cl
 from tickloom.operators import pixels as px
 from tickloom.plans import fixtures as fx
 from tickloom.plans.registry import query
@@ -217,9 +218,61 @@ def interpret(spark, d):
     return i.select("item_id", F.lit(10).alias("bits"), (F.col("item_id") % 2 == 0).alias("full_range"), at(0).alias("matrix"), at(1).alias("curve"), at(2).alias("gamut"), at(3).alias("peak_nits"))
 
 
-@query("normalise_footage")
+def enc(v):
+    return f"(CASE WHEN {v} <= 0.0031308 THEN {v} * 12.92 ELSE 1.055 * pow({v}, 1 / 2.4::DOUBLE) - 0.055 END)"
+
+
+def dec(v):
+    return f"(CASE WHEN {v} <= 0.04045 THEN {v} / 12.92 ELSE pow(({v} + 0.055) / 1.055, 2.4::DOUBLE) END)"
+
+
+def num(x):
+    return f"({float(x)!r}::DOUBLE)"
+
+
+def pq_dec(e):
+    m1, m2, c1, c2, c3 = map(num, cl.PQ)
+    p = f"pow(greatest({e}, 0), 1 / {m2})"
+    return f"pow(greatest({p} - {c1}, 0) / ({c2} - {c3} * {p}), 1 / {m1})"
+
+
+def pq_enc(v):
+    m1, m2, c1, c2, c3 = map(num, cl.PQ)
+    p = f"pow(greatest({v}, 0), {m1})"
+    return f"pow(({c1} + {c2} * {p}) / (1 + {c3} * {p}), {m2})"
+
+
+def unit(v):
+    return f"least(greatest({v}, 0), 1)"
+
+
+def curve(v):
+    hlg = f"CASE WHEN {unit(v)} <= 0.5 THEN {unit(v)} * {unit(v)} / 3 ELSE (exp(({unit(v)} - 0.55991073::DOUBLE) / 0.17883277::DOUBLE) + 0.28466892::DOUBLE) / 12 END"
+    code = f"(CASE WHEN fullr THEN {v} ELSE (64 + 876 * {v}) / 1023 END)"
+    slog = f"CASE WHEN {code} >= 171.2102946929::DOUBLE / 1023 THEN pow(10.0::DOUBLE, ({code} * 1023 - 420) / 261.5::DOUBLE) * 0.19::DOUBLE - 0.01::DOUBLE ELSE ({code} * 1023 - 95) * 0.01125::DOUBLE / (171.2102946929::DOUBLE - 95) END"
+    return f"CASE WHEN sp IN (0, 4) THEN {dec(unit(v))} WHEN sp = 1 THEN {pq_dec(unit(v))} * {num(10_000 / cl.WHITE_NITS)} WHEN sp = 2 THEN {hlg} ELSE {slog} END"
+
+
+def mix(row):
+    per = lambda g: " + ".join(f"{num(cl.gamut_matrix(g, 'bt709')[row][j])} * l{c} * oo" for j, c in enumerate("rgb"))
+    return f"CASE WHEN sp IN (1, 2) THEN {per('bt2020')} WHEN sp = 3 THEN {per('sgamut3cine')} ELSE l{'rgb'[row]} * oo END"
+
+
+LUM = " + ".join(f"{num(w)} * l{c}" for w, c in zip(cl.to_xyz("bt2020")[1], "rgb"))
+NORMAL = f""", cd AS (SELECT frame_id % 20 AS item_id, frame_id, x, y, round(r * 876 + 64) AS py, round(g * 600 + 212) AS pcb, round(b * 600 + 212) AS pcr FROM pixels),
+sp AS (SELECT *, item_id % 5 AS sp, item_id % 2 = 0 AS fullr, CASE item_id % 5 WHEN 1 THEN 1000.0::DOUBLE WHEN 2 THEN 1000.0::DOUBLE WHEN 3 THEN 1500.0::DOUBLE ELSE 203.0::DOUBLE END AS peak, CASE item_id % 5 WHEN 4 THEN 0.299::DOUBLE WHEN 1 THEN 0.2627::DOUBLE WHEN 2 THEN 0.2627::DOUBLE ELSE 0.2126::DOUBLE END AS kr, CASE item_id % 5 WHEN 4 THEN 0.114::DOUBLE WHEN 1 THEN 0.0593::DOUBLE WHEN 2 THEN 0.0593::DOUBLE ELSE 0.0722::DOUBLE END AS kb FROM cd),
+yc AS (SELECT *, CASE WHEN fullr THEN py / 1023 ELSE (py - 64) / 876 END AS yy, CASE WHEN fullr THEN (pcb - 512) / 1023 ELSE (pcb - 512) / 896 END AS cb, CASE WHEN fullr THEN (pcr - 512) / 1023 ELSE (pcr - 512) / 896 END AS cr FROM sp),
+rb AS (SELECT *, yy + 2 * (1 - kr) * cr AS vr, yy + 2 * (1 - kb) * cb AS vb FROM yc), vv AS (SELECT *, (yy - kr * vr - kb * vb) / (1 - kr - kb) AS vg FROM rb),
+ln AS (SELECT *, {curve('vr')} AS lr, {curve('vg')} AS lg, {curve('vb')} AS lb FROM vv), ot AS (SELECT *, CASE WHEN sp = 2 THEN pow(greatest({LUM}, 0), 0.2::DOUBLE) * {num(1000 / cl.WHITE_NITS)} ELSE 1.0::DOUBLE END AS oo FROM ln),
+mx AS (SELECT *, {mix(0)} AS mr, {mix(1)} AS mg, {mix(2)} AS mb FROM ot), nt AS (SELECT *, greatest(mr, mg, mb) * 203 AS nits FROM mx),
+tp AS (SELECT *, {pq_enc(unit('peak / 10000'))} AS top FROM nt), ee AS (SELECT *, least({pq_enc(unit('nits / 10000'))} / top, 1) AS e1, {pq_enc('0.0203::DOUBLE')} / top AS ml FROM tp), kn AS (SELECT *, 1.5 * ml - 0.5 AS ks, (e1 - (1.5 * ml - 0.5)) / (1 - (1.5 * ml - 0.5)) AS t FROM ee),
+tm AS (SELECT *, CASE WHEN nits > 1e-6 AND peak > 203 THEN {pq_dec('(CASE WHEN e1 < ks THEN e1 ELSE (2 * t * t * t - 3 * t * t + 1) * ks + (t * t * t - 2 * t * t + t) * (1 - ks) + (-2 * t * t * t + 3 * t * t) * ml END * top)')} * 10000 / nits ELSE 1 END AS k FROM kn)
+SELECT item_id, frame_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round({enc(unit('mr * k'))}, 5) AS r, round({enc(unit('mg * k'))}, 5) AS g, round({enc(unit('mb * k'))}, 5) AS b FROM tm"""
+
+
+@query("normalise_footage", using("pixels", NORMAL))
 def normalise_footage(spark, d):
-    return rounded(px.normalise_footage(codes(spark, d), interpret(spark, d)), "r", "g", "b")
+    return rounded(px.normalise_footage(codes(spark, d), interpret(spark, d)), "r", "g", "b", digits=5)
 
 
 def lattice(spark, d):
@@ -248,14 +301,6 @@ def stack(spark, d):
     return z.select("frame_id", "x", "y", "z", *[v.alias(c) for c, v in lin.items()], al.alias("a"), F.when(F.col("z") == 2, 0.75).otherwise(1.0).alias("opacity"), mode.alias("mode"))
 
 
-def enc(v):
-    return f"(CASE WHEN {v} <= 0.0031308 THEN {v} * 12.92 ELSE 1.055 * pow({v}, 1 / 2.4::DOUBLE) - 0.055 END)"
-
-
-def dec(v):
-    return f"(CASE WHEN {v} <= 0.04045 THEN {v} / 12.92 ELSE pow(({v} + 0.055) / 1.055, 2.4::DOUBLE) END)"
-
-
 def layer(k, prevt, out):
     s = [f"s{c}{k}" for c in "rgba"]
     d = list("rgba")
