@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from tickloom.llm import decontaminate, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from tickloom.llm.text import held_out
 from tickloom.session import shared_folder
 
@@ -99,3 +99,15 @@ def op7(spark, d):
     model = toxicity.learn(docs, learnable(spark, d))
     s = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return s.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_suffix_dedup")
+def op9(spark, d):
+    s = suffix_dedup.strip_repeats(table(spark, d, "documents"))
+    return s.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10(spark, d):
+    s = substring_dedup.strip_passages(table(spark, d, "documents"))
+    return s.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
