@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from tickloom.llm import decontaminate, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from tickloom.llm.text import held_out
-from tickloom.session import shared_folder
+from tickloom.session import cut_lineage, shared_folder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -111,3 +111,32 @@ def op9(spark, d):
 def op10(spark, d):
     s = substring_dedup.strip_passages(table(spark, d, "documents"))
     return s.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_quality_cascade")
+def op4(spark, d):
+    return quality_rules.apply_rules(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_quality_model")
+def op5(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality_model.learn(docs, learnable(spark, d))
+    s = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_model.score(F.col("text"), model).alias("score"))
+    return s.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def labelled_secrets(found: DataFrame) -> DataFrame:
+    """Findings whose format settles them: issued key, 40-hex token and long hex password, or address, number, phone and card."""
+    true = r"^(AKIA[A-Z0-9]{16}|[0-9a-f]{40}|[0-9a-f]{18})$"
+    false = r"^([0-9.\-:]+|.*@.*|.*[a-z]{6,}.*)$"
+    v = F.col("value")
+    return found.withColumn("label", F.when(v.rlike(true), True).when(v.rlike(false), False))
+
+
+@query("op8_secret_forest")
+def op8(spark, d):
+    found = cut_lineage(secrets.findings(table(spark, d, "documents")))
+    forest = secrets.learn(labelled_secrets(found).where(~held_out(F.col("id"))), F.concat_ws(":", "id", "start"))
+    s = secrets.judge(found, forest)
+    return s.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= 0.5).alias("is_secret"))
