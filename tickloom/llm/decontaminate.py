@@ -72,7 +72,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, size: int = 5, least:
     few = F.broadcast if n <= sent else (lambda x: x)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("tk"), word_list(F.col("text")).alias("w"))
-    every = F.flatten(F.array(*[F.transform(hashes(F.col("w"), k), lambda h, k=k: F.struct(F.lit(k).alias("width"), h.alias("h"))) for k in widths])) if len(widths) > 1 else None
+
+    def tagged(k: int) -> Column:
+        return F.transform(hashes(F.col("w"), k), lambda h: F.struct(F.lit(k).alias("width"), h.alias("h")))
+
+    every = F.flatten(F.array(*map(tagged, widths))) if len(widths) > 1 else None
     if not widths:
         seen = keyed.select("doc_id", "tk", F.lit(1).alias("width"), F.lit(0).cast("long").alias("h")).where("false")
     elif every is None:
