@@ -58,6 +58,17 @@ def grams(sums: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(n)[1][:n])
 
 
+def _owners(g: np.ndarray, width: int) -> np.ndarray:
+    """Position of the smallest, then leftmost, of ``width`` consecutive hashes, for each start."""
+    low, span = (g & ~_LOW) | np.arange(len(g), dtype=U64), 1
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < width:
+        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    return (low & _LOW).astype(np.int64)
+
+
 def anchors(codes: np.ndarray, window: int, k: int, first: int = 0, stop: int | None = None) -> Iterator[tuple]:
     """Samples the ``k``-grams of a sequence so that each window of ``window`` codes owns one of its own ``k``-grams.
 
@@ -70,20 +81,33 @@ def anchors(codes: np.ndarray, window: int, k: int, first: int = 0, stop: int |
         n = min(BLOCK, stop - at)
         sums = prefix_sums(codes[at : at + n + window - 1])
         g = grams(sums, k)
-        low = (g & ~_LOW) | np.arange(len(g), dtype=U64)
-        width, span = window - k + 1, 1
-        while 2 * span <= width:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if span < width:
-            low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-        own = (low & _LOW).astype(np.int64)
+        own = _owners(g, window - k + 1)
         cut = np.flatnonzero(own[1:] != own[:-1]) + 1
         lo = np.concatenate(([0], cut))
         count = np.diff(np.concatenate((lo, [n])))
         yield own[lo], g[own[lo]], lo, count, sums, at
 
 
+def joined_anchors(codes: np.ndarray, size: np.ndarray, count: np.ndarray, window: int, k: int) -> tuple:
+    """``anchors`` of many short sequences laid end to end: the first ``count`` windows of each, which has ``size`` codes.
+
+    Returns (sequence, gram hash, first window within the sequence, number of windows, content hash).
+    """
+    sums = prefix_sums(codes)
+    g = grams(sums, k)
+    off = np.cumsum(size) - size
+    m = len(codes) - window + 1
+    which = np.repeat(np.arange(len(size)), size)[:m]
+    valid = np.arange(m) - off[which] < count[which]
+    own = _owners(g, window - k + 1)
+    cut = np.flatnonzero((own[1:] != own[:-1]) | (which[1:] != which[:-1]) | (valid[1:] != valid[:-1])) + 1
+    lo = np.concatenate(([0], cut))
+    n = np.diff(np.concatenate((lo, [m])))
+    keep = valid[lo]
+    lo, n = lo[keep], n[keep]
+    return which[lo], g[own[lo]], lo - off[which[lo]], n, span_hash(sums, lo, lo + n - 1 + window)
+
+
 def repeated(kept: Kept, name: str, df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The rows whose ``key`` (a long) occurs at least twice.
 
@@ -139,11 +163,11 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Documents (rk, ...) that have rows in ``lists`` (rk, ...), with them as array ``found``; and the documents without.
+    """Documents (rk, ...) that have rows in ``lists`` (rk, ...), with those as arrays ``f_<column>``; and the others.
 
     If the keys of those documents are few enough to be sent around, only their texts are shuffled; else all are.
     """
-    found = lists.groupBy("rk").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    found = lists.groupBy("rk").agg(*listed(columns))
     ids = lists.select(F.col("rk").alias("k_rk")).distinct()
     if ids.count() <= SENT:
         ids = F.broadcast(ids)
@@ -151,25 +175,41 @@ def with_lists(docs: DataFrame, lists: DataFrame, columns: list[str]) -> tuple[D
     return have, docs.join(ids, F.col("rk") == F.col("k_rk"), "left_anti")
 
 
-def flat(found: list) -> dict[str, np.ndarray]:
-    """An array of structs of longs as columns."""
-    rows = [tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in found]
-    names = list(found[0].keys()) if isinstance(found[0], dict) else list(found[0].__fields__)
-    return dict(zip(names, np.array(rows, dtype=np.int64).T, strict=True))
+def listed(columns: list[str]) -> list[Column]:
+    """Arrays of the columns of a group, all in the same order of its rows."""
+    return [F.collect_list(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(f"f_{c}") for c in columns]
+
+
+class Rows:
+    """Arrays gathered from many documents, made into one frame when they are many."""
+
+    def __init__(self, *columns: str, most: int = 1 << 17) -> None:
+        self.columns, self.most, self.rows, self.size = columns, most, [], 0
+
+    def add(self, n: int, *values: np.ndarray | int) -> bool:
+        """Takes ``n`` rows; true if it is time to ``take`` them."""
+        if n:
+            self.rows.append([v if isinstance(v, np.ndarray) else np.full(n, v) for v in values])
+            self.size += n
+        return self.size >= self.most
+
+    def take(self) -> pd.DataFrame:
+        out = pd.DataFrame({c: np.concatenate([r[i] for r in self.rows]) if self.rows else np.zeros(0, np.int64) for i, c in enumerate(self.columns)})
+        self.rows, self.size = [], 0
+        return out
 
 
 def cut(docs: DataFrame, spans: DataFrame, render: Callable[[bytes, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
     """Applies ``render(text, starts, ends)`` to every document (rk, id, text) with its spans (rk, start, stop)."""
     have, none = with_lists(docs, spans, ["start", "stop"])
 
+    none_found = np.zeros(0, np.int64)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                f = getattr(row, "found", None)
-                s = flat(f) if f is not None and len(f) else {"start": np.zeros(0, np.int64), "stop": np.zeros(0, np.int64)}
-                out.append((row.id, *render(row.text or b"", s["start"], s["stop"])))
+            spans_of = zip(b["f_start"], b["f_stop"], strict=True) if "f_start" in b else ((none_found, none_found) for _ in range(len(b)))
+            out = [(i, *render(t or b"", *s)) for i, t, s in zip(b["id"], b["text"], spans_of, strict=True)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in f"id long, {schema}".split(", ")]).astype({"id": "Int64"})
 
     put = lambda df: df.mapInPandas(each, f"id long, {schema}")
-    return put(have.select("id", "text", "found")).union(put(none.select("id", "text")))
+    return put(have.select("id", "text", "f_start", "f_stop")).union(put(none.select("id", "text")))

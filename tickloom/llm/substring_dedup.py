@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.repeats import Kept, anchors, covered, cut, flat, repeated, row_key, with_lists, word_codes
+from tickloom.llm.repeats import Kept, Rows, anchors, covered, cut, repeated, row_key, with_lists, word_codes
 from tickloom.llm.text import span_hash
 
 #: Words of a passage, and of the k-mers that are the edges of the graph.
@@ -31,8 +31,8 @@ def repeated_passages(docs: DataFrame, window: int = PASSAGE, k: int = KMER) ->
     kept = Kept(docs)
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = Rows("h", "rk", "p", "left", "right")
         for b in batches:
-            out, size = [], 0
             for rk, text in zip(b["rk"], b["text"], strict=True):
                 codes = word_codes(text) if text is not None else []
                 if len(codes) < window:
@@ -42,13 +42,9 @@ def repeated_passages(docs: DataFrame, window: int = PASSAGE, k: int = KMER) ->
                     new = np.concatenate(([True], own[1:] != own[:-1]))
                     own, h = own[new], h[new]
                     link = span_hash(sums, own[:-1], own[1:] + k).view(np.int64)
-                    out.append(pd.DataFrame({"h": h.view(np.int64), "rk": rk, "p": own + at, "left": np.concatenate(([0], link)), "right": np.concatenate((link, [0]))}))
-                    size += len(h)
-                if size > 1 << 17:
-                    yield pd.concat(out)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out)
+                    if rows.add(len(h), h.view(np.int64), rk, own + at, np.concatenate(([0], link)), np.concatenate((link, [0]))):
+                        yield rows.take()
+        yield rows.take()
 
     all_edges = kept.keep(docs.mapInPandas(edges, "h long, rk long, p int, left long, right long"), "edges")
     twice = repeated(kept, "twice", all_edges, "h", ["rk", "p"])
@@ -60,14 +56,12 @@ def repeated_passages(docs: DataFrame, window: int = PASSAGE, k: int = KMER) ->
     have, _ = with_lists(docs, flagged, ["p", "flag"])
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = Rows("w", "rk", "p", "n")
         for b in batches:
-            out, size = [], 0
-            for rk, text, found in zip(b["rk"], b["text"], b["found"], strict=True):
-                f, codes = flat(found), word_codes(text)
-                order = np.argsort(f["p"], kind="stable")
-                p, flag = f["p"][order], f["flag"][order]
-                new = np.concatenate(([True], p[1:] != p[:-1]))
-                p, flag = p[new], flag[new]
+            for rk, text, at_p, at_flag in zip(b["rk"], b["text"], b["f_p"], b["f_flag"], strict=True):
+                codes = word_codes(text)
+                p, first = np.unique(at_p, return_index=True)
+                flag = at_flag[first]
                 edge = np.zeros(len(codes), bool)
                 edge[p] = True
                 every = np.unique(np.concatenate([own + at for own, _, _, _, _, at in anchors(codes, window, k)]))
@@ -78,23 +72,22 @@ def repeated_passages(docs: DataFrame, window: int = PASSAGE, k: int = KMER) ->
                 tail = np.concatenate((head[1:], [len(p)])) - 1
                 start, stop = p[head], p[tail] + k
                 long = stop - start >= window
-                out.append(pd.DataFrame({"w": 0, "rk": rk, "p": start[long], "n": (stop - start)[long]}))
+                start, stop = start[long], stop[long]
+                full = rows.add(len(start), 0, rk, start, stop - start)
                 # windows that own a repeated edge and lie in no path
-                inside = covered(len(codes), start[long], (stop - window + 1)[long])
+                inside = covered(len(codes), start, stop - window + 1)
                 for own, _, lo, n, sums, at in anchors(codes, window, k):
                     ok = edge[own + at]
-                    w = np.repeat(lo[ok], n[ok]) + (np.arange(int(n[ok].sum())) - np.repeat(np.cumsum(n[ok]) - n[ok], n[ok]))
+                    lo, n = lo[ok], n[ok]
+                    w = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     w = w[~inside[w + at]]
-                    out.append(pd.DataFrame({"w": span_hash(sums, w, w + window).view(np.int64), "rk": rk, "p": w + at, "n": 0}))
-                    size += len(w)
-                if size > 1 << 17:
-                    yield pd.concat(out)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out)
+                    full = rows.add(len(w), span_hash(sums, w, w + window).view(np.int64), rk, w + at, 0)
+                if full:
+                    yield rows.take()
+        yield rows.take()
 
     # rows that repeat another have its key: their windows are counted for each
-    found = kept.keep(have.select("rk", "text", "found").mapInPandas(paths, "w long, rk long, p int, n int"), "found")
+    found = kept.keep(have.select("rk", "text", "f_p", "f_flag").mapInPandas(paths, "w long, rk long, p int, n int"), "found")
     kept.drop("twice")
     whole = found.where("n > 0").select("rk", F.col("p").alias("start"), (F.col("p") + F.col("n")).alias("stop"))
     crossing = repeated(kept, "crossing", found.where("n = 0").select("w", "rk", "p"), "w", ["rk", "p"])

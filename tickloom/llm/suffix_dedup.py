@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.repeats import Kept, anchors, byte_codes, covered, cut, flat, repeated, row_key, with_lists
+from tickloom.llm.repeats import Kept, Rows, anchors, byte_codes, covered, cut, joined_anchors, listed, repeated, row_key, with_lists
 from tickloom.llm.text import mix, prefix_sums, span_hash
 
 U64 = np.uint64
@@ -17,12 +17,6 @@ U64 = np.uint64
 LENGTHS = (50, 180, 200)
 
 
-def _names(codes: np.ndarray, window: int, k: int, stop: int | None = None) -> Iterator[pd.DataFrame]:
-    for own, h, lo, n, sums, at in anchors(codes, window, k, 0, stop):
-        del own
-        yield pd.DataFrame({"h": h.view(np.int64), "c": span_hash(sums, lo, lo + n - 1 + window).view(np.int64), "lo": lo + at, "n": n})
-
-
 def _join(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     """One name for a pair of names."""
     return mix(np.asarray(a).astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + b.view(U64)).view(np.int64)
@@ -45,18 +39,14 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
     kept = Kept(docs)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = Rows("h", "c", "lo", "n", "rk")
         for b in batches:
-            out, size = [], 0
             for rk, text in zip(b["rk"], b["text"], strict=True):
                 if text is not None and len(text) >= window:
-                    for x in _names(byte_codes(text), window, k1):
-                        out.append(x.assign(rk=rk))
-                        size += len(x)
-                        if size > 1 << 17:
-                            yield pd.concat(out)
-                            out, size = [], 0
-            if out:
-                yield pd.concat(out)
+                    for own, h, lo, n, sums, at in anchors(byte_codes(text), window, k1):
+                        if rows.add(len(own), h.view(np.int64), span_hash(sums, lo, lo + n - 1 + window).view(np.int64), lo + at, n, rk):
+                            yield rows.take()
+        yield rows.take()
 
     named = kept.keep(docs.mapInPandas(first, "h long, c long, lo int, n int, rk long"), "named")
     twice = repeated(kept, "grams", named, "h", ["rk", "lo"])
@@ -68,26 +58,33 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
     sure = repeated(kept, "sure", twice.withColumn("hc", F.xxhash64("h", "c")).select("hc", "rk", "lo", "n"), "hc", ["rk", "lo"]).select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + window).alias("stop"))
     kept.drop("grams")
     open_ = known.join(several, F.col("h") == F.col("s_h"), "left_semi").select("h", "at.rk", "at.lo", "at.n", (F.col("times") > 1).alias("many"))
-    have, _ = with_lists(docs, open_.withColumn("many", F.col("many").cast("long")), ["h", "lo", "n", "many"])
+    have, _ = with_lists(docs, open_, ["h", "lo", "n", "many"])
 
     def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, pieces = Rows("rk", "h", "lo", "n", "many"), []
         for b in batches:
-            for rk, text, found in zip(b["rk"], b["text"], b["found"], strict=True):
-                f = flat(found)
-                for i in range(0, len(f["h"]), 4096):
-                    part = {c: v[i : i + 4096] for c, v in f.items()}
-                    yield pd.DataFrame({"rk": rk, **part, "piece": [text[a : a + n - 1 + window] for a, n in zip(part["lo"], part["n"], strict=True)]})
-
-    piece = kept.keep(have.select("rk", "text", "found").mapInPandas(sliced, "rk long, h long, lo int, n int, many long, piece binary"), "pieces")
+            for rk, text, h, lo, n, many in zip(b["rk"], b["text"], b["f_h"], b["f_lo"], b["f_n"], b["f_many"], strict=True):
+                pieces += [text[p:q] for p, q in zip(lo.tolist(), (lo + n - 1 + window).tolist(), strict=True)]
+                rows.add(len(h), rk, h, lo, n, many)
+                if len(pieces) > 8192:
+                    yield rows.take().assign(piece=pieces)
+                    pieces = []
+        yield rows.take().assign(piece=pieces)
+
+    piece = kept.keep(have.select("rk", "text", "f_h", "f_lo", "f_n", "f_many").mapInPandas(sliced, "rk long, h long, lo int, n int, many long, piece binary"), "pieces")
+
+    def parts(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        """A batch of pieces in portions: the rows, the codes of their pieces end to end, and the pieces' sizes."""
+        for i in range(0, len(b), 4096):
+            x = b.iloc[i : i + 4096]
+            yield x, byte_codes(b"".join(x["piece"])), np.fromiter(map(len, x["piece"]), np.int64, len(x))
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for rk, h, lo, many, text, n in zip(b["rk"], b["h"], b["lo"], b["many"], b["piece"], b["n"], strict=True):
-                for x in _names(byte_codes(text), window, k2, int(n)):
-                    out.append(pd.DataFrame({"h": _join(h, x["h"].to_numpy()), "c": _join(h, x["c"].to_numpy()), "rk": rk, "base": lo, "at": x["lo"], "n": x["n"], "many": many}))
-            if out:
-                yield pd.concat(out)
+            for x, codes, size in parts(b):
+                which, h, at, n, c = joined_anchors(codes, size, x["n"].to_numpy(), window, k2)
+                up = x["h"].to_numpy()[which]
+                yield pd.DataFrame({"h": _join(up, h), "c": _join(up, c), "rk": x["rk"].to_numpy()[which], "base": x["lo"].to_numpy()[which], "at": at, "n": n, "many": x["many"].to_numpy()[which]})
 
     again = kept.keep(piece.mapInPandas(second, "h long, c long, rk long, base int, at int, n int, many long"), "again")
     sure2 = repeated(kept, "sure2", again.withColumn("hc", F.xxhash64("h", "c")).select("hc", "rk", "base", "at", "n", "many"), "hc", ["rk", "base", "at"]).where("many = 0")
@@ -95,18 +92,18 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
     known2 = again.groupBy("h", "c").agg(F.count("*").alias("times"), F.max("many").alias("many"), F.min(F.struct("rk", "base", "at", "n")).alias("p"))
     several2 = known2.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(F.col("h").alias("s_h"))
     open2 = known2.join(several2, F.col("h") == F.col("s_h"), "left_semi").select("h", "p.rk", "p.base", "p.at", "p.n", F.when(F.col("times") > 1, 1).otherwise(F.col("many")).alias("many2"))
-    lists = open2.groupBy(F.col("rk").alias("l_rk"), F.col("base").alias("l_base")).agg(F.collect_list(F.struct("h", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), F.col("many2").cast("long").alias("many"))).alias("found"))
-    left = piece.join(lists, (F.col("rk") == F.col("l_rk")) & (F.col("lo") == F.col("l_base"))).dropDuplicates(["rk", "lo"]).select("rk", "lo", "piece", "found")
+    lists = open2.withColumnRenamed("many2", "many").groupBy(F.col("rk").alias("l_rk"), F.col("base").alias("l_base")).agg(*listed(["h", "at", "n", "many"]))
+    left = piece.join(lists, (F.col("rk") == F.col("l_rk")) & (F.col("lo") == F.col("l_base"))).dropDuplicates(["rk", "lo"]).select("rk", "lo", "piece", "f_h", "f_at", "f_n", "f_many")
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for rk, lo, text, found in zip(b["rk"], b["lo"], b["piece"], b["found"], strict=True):
-                f, sums = flat(found), prefix_sums(byte_codes(text))
-                p = np.concatenate([np.arange(a, a + n) for a, n in zip(f["at"], f["n"], strict=True)])
-                out.append(pd.DataFrame({"w": _join(np.repeat(f["h"], f["n"]), span_hash(sums, p, p + window)), "rk": rk, "p": p + lo, "many": np.repeat(f["many"], f["n"])}))
-            if out:
-                yield pd.concat(out)
+            for x, codes, size in parts(b):
+                sums, each = prefix_sums(codes), x["f_h"].map(len).to_numpy()
+                h, at, n, many = (np.concatenate(x[c].to_list()) for c in ("f_h", "f_at", "f_n", "f_many"))
+                which = np.repeat(np.repeat(np.arange(len(x)), each), n)
+                p = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                q = (np.cumsum(size) - size)[which] + p
+                yield pd.DataFrame({"w": _join(np.repeat(h, n), span_hash(sums, q, q + window)), "rk": x["rk"].to_numpy()[which], "p": p + x["lo"].to_numpy()[which], "many": np.repeat(many, n)})
 
     windows = kept.keep(left.mapInPandas(last, "w long, rk long, p int, many long"), "windows")
     sure3 = repeated(kept, "sure3", windows, "w", ["rk", "p"]).where("many = 0").select("rk", F.col("p").alias("start"), (F.col("p") + window).alias("stop"))
