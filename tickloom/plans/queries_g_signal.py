@@ -11,19 +11,20 @@ from tickloom.plans.registry import query
 from tickloom.plans.sqltables import using
 
 SHIFT = 37
+COPY = 1_000_000_000
 
 
 def doubled(spark, d):
     """Every stream and a copy that starts later, at half level and turned over."""
     s = fx.samples(spark, d)
-    late = s.filter(F.col("n") >= SHIFT).select((F.col("stream_id") + 100).alias("stream_id"), "ch", (F.col("n") - SHIFT).alias("n"), (F.col("x") * -0.5).alias("x"))
+    late = s.filter(F.col("n") >= SHIFT).select((F.col("stream_id") + COPY).alias("stream_id"), "ch", (F.col("n") - SHIFT).alias("n"), (F.col("x") * -0.5).alias("x"))
     return s.unionByName(late)
 
 
 @query("audio_offsets", using("samples", f"SELECT DISTINCT stream_id AS pair_id, {SHIFT}::BIGINT AS lag, true AS inverted, true AS reliable FROM samples"))
 def audio_offsets(spark, d):
     s = doubled(spark, d)
-    pairs = s.filter("stream_id < 100").select(F.col("stream_id").alias("pair_id"), F.col("stream_id").alias("a"), (F.col("stream_id") + 100).alias("b")).distinct()
+    pairs = fx.samples(spark, d).select(F.col("stream_id").alias("pair_id"), F.col("stream_id").alias("a"), (F.col("stream_id") + COPY).alias("b")).distinct()
     return sg.audio_offsets(pairs, s, RATE).select("pair_id", "lag", "inverted", "reliable")
 
 
