@@ -126,13 +126,14 @@ def by_chunk(samples: DataFrame, fn: Callable[[np.ndarray, int, int, int], dict]
     copies = idiv(F.col("n") + run_in, F.lit(chunk))
     least = idiv(F.greatest(F.col("n") - after, F.lit(0)), F.lit(chunk))
     wide = samples.select(*SIG, "n", "x", F.explode(F.sequence(least, copies)).alias("_c"))
-    last = samples.groupBy(*SIG).agg(F.max("n").alias("_top"))
-    wide = wide.join(last, SIG).filter(F.col("_c") * chunk <= F.col("_top")).drop("_top")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         c, n = int(pdf["_c"].iloc[0]), pdf["n"].to_numpy()
         lo = int(n[0])
+        if n[-1] < c * chunk:  # run-in of a chunk behind the end of the channel
+            return pd.DataFrame(columns=["stream_id", "ch", *names])
         x = np.zeros(int(n[-1]) - lo + 1)
         x[n - lo] = pdf["x"].to_numpy()
         own = min(chunk, int(n[-1]) + 1 - c * chunk)
@@ -141,7 +142,7 @@ def by_chunk(samples: DataFrame, fn: Callable[[np.ndarray, int, int, int], dict]
         out.insert(1, "ch", pdf["ch"].iloc[0])
         return out
 
-    return wide.groupBy(*SIG, "_c").applyInPandas(apply, f"stream_id long, ch int, {schema}")
+    return wide.repartition(*SIG, "_c").groupBy(*SIG, "_c").applyInPandas(apply, f"stream_id long, ch int, {schema}")
 
 
 def fft_filter(x: np.ndarray, h: np.ndarray) -> np.ndarray:

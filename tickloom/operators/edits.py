@@ -40,19 +40,23 @@ def trim_to(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     return df.withColumns({"start": lo_, "duration": hi_ - lo_}).drop(lo, hi, "end")
 
 
-def razor(clips: DataFrame, cuts: DataFrame, keys=TRACK) -> DataFrame:
-    """Split every clip that strictly contains a cut ``(keys, t)``."""
+def razor(clips: DataFrame, cuts: DataFrame, keys=TRACK, tracks: DataFrame | None = None) -> DataFrame:
+    """Split every clip that strictly contains a cut ``(keys, t)``; clips on locked ``tracks`` stay."""
+    clips, fixed = by_lock(clips, tracks)
     c = with_end(clips)
     points = cuts.select(*keys, F.col("t").alias("b_start"), (F.col("t") + 1).alias("b_end")).distinct()
     hits = overlap_join(c, points, keys).filter("b_start > start").withColumnsRenamed({"b_start": "_t"}).drop("b_end", "lo", "hi")
     walls = hits.unionByName(c.withColumn("_t", F.col("end")))
     s = scan(walls, [*keys, "clip_id"], ["_t"], _p=prev("_t"))
-    return trim_to(s.withColumns({"lo": F.coalesce("_p", "start"), "hi": F.col("_t")}).drop("_p", "_t"))
+    out = trim_to(s.withColumns({"lo": F.coalesce("_p", "start"), "hi": F.col("_t")}).drop("_p", "_t"))
+    return out if fixed is None else out.unionByName(fixed, allowMissingColumns=True)
 
 
-def lift(clips: DataFrame, ranges: DataFrame, keys=SEQ) -> DataFrame:
-    """Remove ``ranges(keys, start, end)`` and leave gaps."""
-    return trim_to(subtract(with_end(clips), ranges, keys, ["clip_id"]))
+def lift(clips: DataFrame, ranges: DataFrame, keys=SEQ, tracks: DataFrame | None = None, merged: bool = False) -> DataFrame:
+    """Remove ``ranges(keys, start, end)`` and leave gaps; clips on locked ``tracks`` stay. ``merged`` ranges are disjoint."""
+    clips, fixed = by_lock(clips, tracks)
+    out = trim_to(subtract(with_end(clips), ranges, keys, ["clip_id"], merged))
+    return out if fixed is None else out.unionByName(fixed, allowMissingColumns=True)
 
 
 def removed_before(rows: DataFrame, ranges: DataFrame, keys, t: str) -> DataFrame:
@@ -88,11 +92,24 @@ def close_up(rows: DataFrame, ranges: DataFrame, keys=SEQ) -> DataFrame:
     return shift_by(rows, ranges.select(*keys, F.col("end").alias("at"), (F.col("start") - F.col("end")).alias("delta")), keys)
 
 
-def ripple_delete_ranges(clips: DataFrame, ranges: DataFrame, keys=SEQ) -> tuple[DataFrame, DataFrame]:
-    """Remove ranges and close them: one pass over merged ranges. Second result: time removed per sequence."""
+def by_lock(clips: DataFrame, tracks: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Clips an edit may touch, and those on tracks that ``tracks(track_id, locked)`` calls locked."""
+    if tracks is None:
+        return clips, None
+    locked = tracks.filter("locked").select("track_id").distinct()
+    return clips.join(locked, "track_id", "left_anti"), clips.join(locked, "track_id", "left_semi").withColumn("origin", F.col("clip_id"))
+
+
+def ripple_delete_ranges(clips: DataFrame, ranges: DataFrame, keys=SEQ, tracks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Remove ranges and close them: one pass over merged ranges. Second result: time removed per sequence.
+
+    With ``tracks`` the clips of locked tracks stay as they are.
+    """
+    clips, fixed = by_lock(clips, tracks)
     cut = cut_lineage(merge_ranges(ranges.filter("end > start"), keys))
     total = cut.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("removed"))
-    return close_up(cut_lineage(lift(clips, cut, keys)), cut, keys), total
+    moved = close_up(lift(clips, cut, keys, merged=True), cut, keys)
+    return moved if fixed is None else moved.unionByName(fixed, allowMissingColumns=True), total
 
 
 def caption_extract(captions: DataFrame, ranges: DataFrame, keys=SEQ) -> DataFrame:
@@ -242,7 +259,6 @@ def bulk_trim(clips: DataFrame, media: DataFrame, deltas: DataFrame) -> tuple[Da
     speed = F.greatest(F.abs("speed"), F.lit(1e-9))
     ext = lambda m: F.floor(m.cast("double") / speed).cast("long")
     head = F.when(F.col("reverse"), F.col("_media") - source_out()).otherwise(F.col("source_in"))
-    room = F.when(F.col("reverse"), F.col("source_in")).otherwise(F.col("_media") - source_out())
     lo_in = F.greatest(-(F.col("start") - F.coalesce("_pe", F.lit(0))), -F.coalesce(ext(head), F.lit(FAR)))
     lo_in = F.when(F.col("frame_hold").isNotNull(), F.lit(-FAR)).otherwise(lo_in)
     d_in = F.least(F.greatest("delta", lo_in), F.col("duration") - F.col("ft"))

@@ -29,34 +29,32 @@ def item_at(points: DataFrame, spans: DataFrame, keys: Sequence[str], t: str = "
     return out if outer else out.filter(F.col(name).isNotNull())
 
 
-def _bucketed(df: DataFrame, start: Column, end: Column, levels: Sequence[int]) -> DataFrame:
-    """One row per (level, bucket) a range touches, from its own level upward."""
+def _bucketed(df: DataFrame, start: Column, end: Column, levels: Sequence[int], own: str, other: str, first: str) -> DataFrame:
+    """One row per width class of a partner and bucket the range touches at the wider class of the two."""
     last = len(levels) - 1
-    own = F.lit(last)
+    mine = F.lit(last)
     for i in range(last - 1, -1, -1):
-        own = F.when(end - start <= F.lit(levels[i]), F.lit(i)).otherwise(own)
-    df = df.withColumn("_own", own)
-    level = F.explode(F.sequence(F.col("_own"), F.lit(last)))
-    df = df.select("*", level.alias("_lv"))
-    width = F.element_at(F.array(*[F.lit(w) for w in levels]), F.col("_lv") + 1)
+        mine = F.when(end - start <= F.lit(levels[i]), F.lit(i)).otherwise(mine)
+    df = df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(last))))
+    width = F.element_at(F.array(*[F.lit(w) for w in levels]), F.greatest(own, other) + 1)
     stop = F.greatest(end - 1, start)
-    return df.withColumn("_first", fdiv(start, width)).withColumn("_b", F.explode(F.sequence(F.col("_first"), fdiv(stop, width))))
+    return df.withColumn(first, fdiv(start, width)).withColumn("_b", F.explode(F.sequence(F.col(first), fdiv(stop, width))))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range: tuple[str, str] = ("start", "end"), b_range: tuple[str, str] = ("b_start", "b_end"), levels: Sequence[int] = LEVELS) -> DataFrame:
     """All pairs whose ranges overlap, with ``lo``/``hi`` the common part.
 
-    Equi join on (keys, level, bucket): each side is bucketed at the width class of its own length
-    and every wider one, a pair meets at the wider class of the two and is kept only in its first
-    common bucket, so no pair appears twice and a very long range costs few rows. Column names of
-    the sides must differ apart from ``keys``.
+    Equi join on (keys, width class of a, width class of b, bucket): for each class a partner may
+    have, a range is bucketed at the wider of the two, so two short ranges only meet in a short
+    bucket, however many long ones there are. A pair is kept in its first common bucket and so
+    appears once; a very long range costs few rows. Column names of the sides must differ apart
+    from ``keys``.
     """
     keys = list(keys)
-    left = _bucketed(a, F.col(a_range[0]), F.col(a_range[1]), levels).withColumnsRenamed({"_own": "_ao", "_first": "_af"})
-    right = _bucketed(b, F.col(b_range[0]), F.col(b_range[1]), levels).withColumnsRenamed({"_own": "_bo", "_first": "_bf"})
-    joined = left.join(right, [*keys, "_lv", "_b"]).filter(
-        (F.col("_lv") == F.greatest("_ao", "_bo"))
-        & (F.col("_b") == F.greatest("_af", "_bf"))
+    left = _bucketed(a, F.col(a_range[0]), F.col(a_range[1]), levels, "_ao", "_bo", "_af")
+    right = _bucketed(b, F.col(b_range[0]), F.col(b_range[1]), levels, "_bo", "_ao", "_bf")
+    joined = left.join(right, [*keys, "_ao", "_bo", "_b"]).filter(
+        (F.col("_b") == F.greatest("_af", "_bf"))
         & (F.col(a_range[0]) < F.col(b_range[1]))
         & (F.col(b_range[0]) < F.col(a_range[1]))
     )
@@ -91,14 +89,13 @@ def range_intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
     return overlap_join(left, right, keys).select(*keys, F.col("lo").alias("start"), F.col("hi").alias("end"))
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], ident: Sequence[str]) -> DataFrame:
-    """Pieces of each ``a`` row outside the merged ``b`` ranges, as ``lo``/``hi``.
+def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], ident: Sequence[str], merged: bool = False) -> DataFrame:
+    """Pieces of each ``a`` row outside the ``b`` ranges, as ``lo``/``hi``.
 
-    ``ident`` names the columns that identify an ``a`` row.
+    ``ident`` names the columns that identify an ``a`` row; ``merged`` says that ``b`` is disjoint already.
     """
     ident = [*keys, *[c for c in ident if c not in keys]]
-    # the merged ranges are read by both halves of the scan below: cut them off once
-    cut = cut_lineage(merge_ranges(b, keys)).withColumnsRenamed({"start": "b_start", "end": "b_end"})
+    cut = (b if merged else merge_ranges(b, keys)).select(*keys, "start", "end").withColumnsRenamed({"start": "b_start", "end": "b_end"})
     a = a.filter(F.col("end") > F.col("start"))
     holes = overlap_join(a, cut, keys).drop("b_start", "b_end")
     walls = holes.unionByName(a.withColumns({"lo": F.col("end"), "hi": F.col("end")}))

@@ -80,7 +80,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk=TIME_CH
     """
     keys = list(keys)
     cut = fdiv(order[0], F.lit(chunk)) if isinstance(chunk, int) else chunk
-    df = df.withColumn("_c", cut)
+    # an earlier join or grouping on the keys would satisfy the windows below with all chunks of a key in one task
+    df = df.withColumn("_c", cut).repartition(*keys, "_c")
     inside = W.partitionBy(*keys, "_c").orderBy(*order)
     up, before = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
     down, after = inside.rowsBetween(0, W.unboundedFollowing), inside.rowsBetween(1, W.unboundedFollowing)
@@ -166,7 +167,7 @@ def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, leve
             return pdf.loc[pdf["_g"].notna(), [*keys, "_p", "_n"]]
 
         marked = chunked.join(gates, [*keys, "_p"], "left")
-        folded = marked.groupBy(*keys, "_c").applyInPandas(fold, schema)
+        folded = marked.repartition(*keys, "_c").groupBy(*keys, "_c").applyInPandas(fold, schema)
         entries = _walk(folded, entries, keys, chunk * 1024, levels - 1)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,4 +185,4 @@ def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, leve
         return pd.DataFrame({**head, "_p": out})
 
     joined = chunked.join(entries.withColumn("_e", F.lit(True)), [*keys, "_p"], "left")
-    return joined.groupBy(*keys, "_c").applyInPandas(step, reached)
+    return joined.repartition(*keys, "_c").groupBy(*keys, "_c").applyInPandas(step, reached)

@@ -211,9 +211,9 @@ def tonal_distance(cur: DataFrame, ref: DataFrame) -> DataFrame:
 GRID_W, GRID_H, BINS = 32, 18, 16
 
 
-def frame_signatures(pixels: DataFrame, w: int, h: int) -> DataFrame:
-    """32 x 18 luma grid and three 16-bin histograms per frame, on a strided sample."""
-    sx, sy = max(w // 256, 1), max(h // 144, 1)
+def frame_signatures(pixels: DataFrame, w: int, h: int, stride: tuple[int, int] = (1, 1)) -> DataFrame:
+    """32 x 18 luma grid and three 16-bin histograms per frame, over every pixel unless a ``stride`` is asked for."""
+    sx, sy = stride
     p = pixels.filter((F.col("x") % sx == 0) & (F.col("y") % sy == 0))
     v8 = {c: _round(cl.clamp(c) * 255) for c in "rgb"}
     luma = 0.2126 * v8["r"] + 0.7152 * v8["g"] + 0.0722 * v8["b"]
@@ -397,17 +397,24 @@ def _blend(mode: str, b: list[Column], s: list[Column]) -> list[Column]:
     return {"hue": lambda: _with_lum(_with_sat(s, _sat(b)), _lum(b)), "saturation": lambda: _with_lum(_with_sat(b, _sat(s)), _lum(b)), "color": lambda: _with_lum(s, _lum(b)), "luminosity": lambda: _with_lum(b, _lum(s))}[mode]()
 
 
+MODES = (*SEPARABLE, "darkerColor", "lighterColor", "hue", "saturation", "color", "luminosity")
+
+
 def composite_layers(layers: DataFrame, modes: list[str] | None = None) -> DataFrame:
     """Premultiplied linear layers ``(frame_id, x, y, z, r, g, b, a, opacity, mode)`` over one another.
 
-    ``modes`` lists the modes that occur besides normal, so only their expressions are compiled.
-    Layers below the topmost opaque normal one are dropped before the fold.
+    The modes that occur are looked up (at most as many as there are) unless ``modes`` lists those
+    besides normal, so that only their expressions are compiled. An unknown mode is an error. One shuffle gathers the layers of
+    a pixel; an opaque normal layer hides what is below it in the fold.
     """
-    p = layers.filter("a > 0 and opacity > 0")
-    hide = p.groupBy("frame_id", "x", "y").agg(F.max(F.when((F.col("a") * F.col("opacity") >= 1) & (F.col("mode") == "normal"), F.col("z"))).alias("_z"))
-    p = p.join(hide, ["frame_id", "x", "y"]).filter("_z is null or z >= _z")
+    if modes is None:
+        modes = [r[0] for r in layers.select("mode").distinct().limit(len(MODES) + 2).collect() if r[0] != "normal"]
+    if odd := [m for m in modes if m not in MODES]:
+        raise ValueError(f"unknown blend modes: {odd}")
+    names = sorted(modes)
+    known = F.col("mode").isin("normal", *names)
+    p = layers.filter("a > 0 and opacity > 0").withColumn("mode", F.when(known, F.col("mode")).otherwise(F.raise_error(F.concat(F.lit("unknown blend mode: "), F.coalesce("mode", F.lit("null"))))))
     stack = F.array_sort(F.collect_list(F.struct("z", *[(F.col(c) * F.col("opacity")).alias(c) for c in "rgba"], "mode")))
-    names = modes or []
 
     def over(d, s):
         enc = lambda q: [cl.srgb_encode(cl.clamp(F.when(q["a"] > 0, q[c] / q["a"]).otherwise(F.lit(0.0)))) for c in "rgb"]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tickloom.functions.text import normal, normal_str, tokens
-from tickloom.functions.timebase import TPS, col, idiv, round_half_away, scaled, snap, snap_nearest, snap_up
+from tickloom.functions.timebase import TPS, col, fdiv, idiv, round_half_away, scaled, snap, snap_nearest, snap_up
 from tickloom.operators.intervals import merge_ranges, overlap_join
 from tickloom.session import cut_lineage
 from tickloom.operators.ordered import (
@@ -132,7 +132,7 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
     """Words laid out as captions.
 
     Where a block that begins at a word would end depends on a bounded look-ahead only, so every
-    chunk of words (with that much of the next chunk) is solved on its own; the blocks really
+    chunk of words (with that much of the chunks behind it) is solved on its own; the blocks really
     taken are the walk from the first word.
     """
     max_chars, lines = max(max_chars, 1), max(lines, 1)
@@ -140,7 +140,7 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
     ahead = room // 2 + lines + 2
     w = words.select(*KEY, "idx", "start", "end", "text", "speaker")
     home = idiv("idx", F.lit(chunk))
-    spread = w.select("*", F.explode(F.when((F.col("idx") >= chunk) & (F.col("idx") % chunk < ahead), F.array(home, home - 1)).otherwise(F.array(home))).alias("_c"))
+    spread = w.select("*", F.explode(F.sequence(F.greatest(fdiv(F.col("idx") - ahead, F.lit(chunk)), F.lit(0)), home)).alias("_c"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
@@ -169,7 +169,8 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
             out.append(int(idx[i]) if i < len(idx) else None)
         return pd.DataFrame({KEY[0]: pdf[KEY[0]].iloc[:mine], "pos": idx[:mine], "nxt": pd.array(out, dtype="Int64")})
 
-    jumps = spread.groupBy(*KEY, "_c").applyInPandas(solve, words.select(*KEY, F.col("idx").alias("pos"), F.col("idx").alias("nxt")).schema)
+    kinds = dict(words.dtypes)
+    jumps = spread.repartition(*KEY, "_c").groupBy(*KEY, "_c").applyInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in KEY), "pos long", "nxt long"]))
     heads = orbit(jumps, KEY).select(*KEY, F.col("pos").alias("idx"), F.lit(True).alias("_h"))
     tagged = scan(w.join(heads, [*KEY, "idx"], "left"), KEY, ["idx"], chunk, block=last_upto(F.when(F.col("_h"), F.col("idx"))))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))

@@ -54,6 +54,32 @@ def ripple_delete_ranges(spark, d):
     return pick(ed.ripple_delete_ranges(fx.clips(spark, d), ranges(spark, d))[0])
 
 
+LOCKED = "(track_id % 3 = 0)"
+
+
+def locks(spark, d):
+    return fx.clips(spark, d).select("track_id", F.expr(LOCKED).alias("locked")).distinct()
+
+
+@query("ripple_delete_locked", using("spans", f""", {RNG}, {LIFTED} SELECT sequence_id, track_id, clip_id AS origin, CAST(lo - coalesce((SELECT sum(m."end" - m.start) FROM mr m WHERE m.sequence_id = lf.sequence_id AND m."end" <= lo), 0) AS BIGINT) AS start, hi - lo AS duration, src AS source_in FROM lf WHERE NOT {LOCKED}
+UNION ALL SELECT sequence_id, track_id, clip_id, start, duration, source_in FROM spans WHERE {LOCKED}"""))
+def ripple_delete_locked(spark, d):
+    """As above, but the clips of locked tracks stay."""
+    return pick(ed.ripple_delete_ranges(fx.clips(spark, d), ranges(spark, d), tracks=locks(spark, d))[0])
+
+
+@query("ripple_delete_removed", using("spans", f""", {RNG}, {LIFTED} SELECT sequence_id, CAST(sum("end" - start) AS BIGINT) AS removed FROM mr GROUP BY 1"""))
+def ripple_delete_removed(spark, d):
+    """Time that the same edit removes from each sequence."""
+    return ed.ripple_delete_ranges(fx.clips(spark, d), ranges(spark, d))[1]
+
+
+@query("lift_locked", using("spans", f""", {RNG}, {LIFTED} SELECT sequence_id, track_id, clip_id AS origin, lo AS start, hi - lo AS duration, src AS source_in FROM lf WHERE NOT {LOCKED}
+UNION ALL SELECT sequence_id, track_id, clip_id, start, duration, source_in FROM spans WHERE {LOCKED}"""))
+def lift_locked(spark, d):
+    return pick(ed.lift(fx.clips(spark, d), ranges(spark, d), tracks=locks(spark, d)))
+
+
 CAPR = """cr AS (SELECT track_id, caption_id, start - 254016000 * 300::BIGINT AS start, start + CAST(254016000 AS BIGINT) * 900 AS "end" FROM captions WHERE caption_id % 4 = 1), """ + sql_merge("cr", "cm", "track_id")
 
 

@@ -48,7 +48,7 @@ TICKS = 254_016_000_000 // RATE * 16
 
 
 def speech_words(spark, d):
-    w = fx.words(spark, d).filter("sequence_id < 10")
+    w = fx.words(spark, d)
     return w.select(F.col("sequence_id").alias("stream_id"), "idx", (F.col("start") / 20).cast("long").alias("start"), (F.col("end") / 20).cast("long").alias("end"))
 
 
@@ -59,7 +59,7 @@ def loud_frames(spark, d):
 
 
 @query("tighten_words", using("samples words", f""", {LEV.replace('AS db FROM samples GROUP BY 1, 2)', '- CASE WHEN (n // 16) % 12 < 7 THEN 30 ELSE 0 END AS db FROM samples GROUP BY 1, 2)').replace('GROUP BY 1, 2)', 'GROUP BY stream_id, n // 16)', 1)},
-ln AS (SELECT stream_id, max(k) + 1 AS len FROM lv GROUP BY 1), w AS (SELECT sequence_id AS stream_id, idx, CAST(floor(start / 20.0::DOUBLE) AS BIGINT) AS start, CAST(floor("end" / 20.0::DOUBLE) AS BIGINT) AS "end" FROM words WHERE sequence_id < 10),
+ln AS (SELECT stream_id, max(k) + 1 AS len FROM lv GROUP BY 1), w AS (SELECT sequence_id AS stream_id, idx, CAST(floor(start / 20.0::DOUBLE) AS BIGINT) AS start, CAST(floor("end" / 20.0::DOUBLE) AS BIGINT) AS "end" FROM words),
 w2 AS (SELECT w.*, start // {TICKS} AS a, least(("end" + {TICKS - 1}) // {TICKS}, len) AS b FROM w JOIN ln USING (stream_id)), vo AS (SELECT lv.stream_id, k FROM lv JOIN th USING (stream_id) WHERE db >= thr),
 w3 AS (SELECT w2.*, (SELECT min(k) FROM vo WHERE vo.stream_id = w2.stream_id AND k >= a) AS f, (SELECT max(k) FROM vo WHERE vo.stream_id = w2.stream_id AND k < b) AS l FROM w2),
 w4 AS (SELECT *, least(f, b - 6) AS s, greatest(l + 1, least(f, b - 6) + 6) AS e FROM w3), w5 AS (SELECT *, b > a + 6 AND f IS NOT NULL AND f < e AS ok FROM w4)

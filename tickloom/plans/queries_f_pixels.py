@@ -320,4 +320,4 @@ PICK = ", ".join(f"{c} * {c} * 0.6::DOUBLE * a{k} / {k + 1} * {op} AS s{c}{k}" f
 l0 AS (SELECT frame_id, x, y, r * r * 0.6::DOUBLE AS r, g * g * 0.6::DOUBLE AS g, b * b * 0.6::DOUBLE AS b, 1.0::DOUBLE AS a, {PICK}, a1 AS sa1, a2 * 0.75 AS sa2, CASE WHEN frame_id % 3 = 1 THEN 'screen' ELSE 'normal' END AS m1, CASE WHEN frame_id % 3 = 0 THEN 'multiply' ELSE 'normal' END AS m2 FROM z),
 {layer(1, 'l0', 'l1')}, {layer(2, 'l1', 'l2')} SELECT frame_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, round(a, 6) AS a FROM l2"""))
 def composite_layers(spark, d):
-    return rounded(px.composite_layers(stack(spark, d), ["multiply", "screen"]), "r", "g", "b", "a")
+    return rounded(px.composite_layers(stack(spark, d)), "r", "g", "b", "a")

@@ -44,7 +44,7 @@ def stream_log_runs(spark, d):
         F.concat(F.lit("s"), F.col("event_id") % 2).alias("source"), F.col("event_type").alias("message"),
     )
     rows = live.latest(live.run_available(live.stream_log_runs(s), spark), ["session_id", "run"], ["_batch", "count"])
-    return live.kept_runs(rows.drop("_batch"))
+    return rows.drop("_batch")
 
 
 @query("import_report", using("log", "SELECT level, message, count(*) AS count FROM log GROUP BY 1, 2"))

@@ -53,7 +53,9 @@ def scan_image_sequences(files: DataFrame, span: int = 1_000_000, block: int = 1
     from tickloom.operators.ordered import prev, scan
 
     g = lambda i: F.regexp_extract("path", NUMBERED, i)
-    f = files.filter(F.col("path").rlike(NUMBERED)).select(g(1).alias("dir"), g(2).alias("prefix"), g(3).alias("digits"), g(4).alias("suffix")).filter(F.length("digits") <= 18)
+    f = files.filter(F.col("path").rlike(NUMBERED)).select(g(1).alias("dir"), g(2).alias("prefix"), g(3).alias("digits"), g(4).alias("suffix"))
+    # of a longer number the digits before the last 18 belong to the prefix
+    f = f.withColumns({"prefix": F.when(F.length("digits") > 18, F.concat("prefix", F.expr("left(digits, length(digits) - 18)"))).otherwise(F.col("prefix")), "digits": F.expr("right(digits, 18)")})
     n = F.col("digits").cast("long")
     # a zero-padded number fixes the width; wider numbers without zeros follow the padded ones
     pad = F.when(F.col("digits").startswith("0") & (F.length("digits") > 1), F.length("digits"))
@@ -64,10 +66,12 @@ def scan_image_sequences(files: DataFrame, span: int = 1_000_000, block: int = 1
     key = [*key, "width"]
     f = f.select(*key, "n").distinct()
     first = f.groupBy(*key).agg(F.min("n").alias("first"))
-    f = f.join(first, key).filter(F.col("n") - F.col("first") <= span)
+    # frames further than ``span`` from the first are a sequence of their own
+    f = f.join(first, key).withColumn("_part", F.floor((F.col("n") - F.col("first")) / (span + 1))).drop("first")
+    key = [*key, "_part"]
     s = scan(f, key, ["n"], block, _p=prev("n"))
     hole = F.when(F.col("n") - F.col("_p") > 1, F.col("n") - F.col("_p") - 1).otherwise(0)
-    return s.groupBy(*key).agg(F.min("n").alias("first"), F.max("n").alias("last"), F.count("*").alias("present"), F.sum(hole).alias("missing"))
+    return s.groupBy(*key).agg(F.min("n").alias("first"), F.max("n").alias("last"), F.count("*").alias("present"), F.sum(hole).alias("missing")).drop("_part")
 
 
 WORDS = "array<struct<text:string, start:long, end:long, speaker:int, confidence:double>>"
