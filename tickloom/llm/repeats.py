@@ -19,6 +19,18 @@ BLOCK = 1 << 20
 #: Largest table of row keys (8 bytes a row) that is sent to every executor to spare the texts a shuffle.
 SENT = 2_000_000
 _LOW = U64((1 << 22) - 1)
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Texts go to Python in Arrow batches of a few megabytes, since both sides hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = str(spark.conf.get(name, "64m")).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(size[-1:], 0)
+    size = int(size.rstrip("kmg")) << unit
+    if size <= 0 or size > BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 class Kept:
@@ -26,6 +38,7 @@ class Kept:
 
     def __init__(self, like: DataFrame) -> None:
         self.spark = like.sparkSession
+        small_batches(self.spark)
         self.folder = f"{shared_folder(self.spark)}/tickloom-repeats-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -203,13 +216,13 @@ def cut(docs: DataFrame, spans: DataFrame, render: Callable[[bytes, np.ndarray,
     """Applies ``render(text, starts, ends)`` to every document (rk, id, text) with its spans (rk, start, stop)."""
     have, none = with_lists(docs, spans, ["start", "stop"])
 
-    none_found = np.zeros(0, np.int64)
+    none_found, names = np.zeros(0, np.int64), [c.split()[0] for c in f"id long, {schema}".split(", ")]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             spans_of = zip(b["f_start"], b["f_stop"], strict=True) if "f_start" in b else ((none_found, none_found) for _ in range(len(b)))
             out = [(i, *render(t or b"", *s)) for i, t, s in zip(b["id"], b["text"], spans_of, strict=True)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in f"id long, {schema}".split(", ")]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
 
     put = lambda df: df.mapInPandas(each, f"id long, {schema}")
     return put(have.select("id", "text", "f_start", "f_stop")).union(put(none.select("id", "text")))
