@@ -17,6 +17,7 @@ from tickloom.session import cut_lineage
 
 SIG = ["stream_id", "ch"]
 FLOOR_DB = -120.0
+# Floor, width and number of the loudness bins.
 LUFS_MIN, LUFS_STEP, LUFS_BINS = -70.0, 0.01, 9000
 
 
@@ -390,6 +391,7 @@ def thin_keyframes(points: DataFrame, tol: float, min_gap: int = 0, hold: bool =
 
 # ---- sample transforms ------------------------------------------------------------------------
 
+# Fixed values below: mixdown gains of the channel layouts.
 def channel_map(source: str, to: str, mixdown: str = "frontRear") -> dict[int, list[tuple[int, float]]]:
     """Input channel -> (output channel, gain). 5.1 order: L R C LFE Ls Rs."""
     k = 1 / sqrt(2)

@@ -171,6 +171,7 @@ def tonal_stats(pixels: DataFrame, skin_protect: bool = True) -> DataFrame:
     p = pixels.filter("a > 0.001")
     L, A, B = cl.oklab(*[F.col(c) / F.col("a") for c in "rgb"])
     p = p.select("frame_id", L.alias("l"), A.alias("la"), B.alias("lb"))
+    # fixed values: edges of the tonal bands, hue range, chroma and lightness of skin
     smooth = lambda e0, e1: (lambda t: t * t * (3 - 2 * t))(cl.clamp((F.col("l") - e0) / (e1 - e0)))
     s, h = smooth(0.55, 0.15), smooth(0.45, 0.85)
     c = F.sqrt(F.col("la") * F.col("la") + F.col("lb") * F.col("lb"))
@@ -208,6 +209,7 @@ def tonal_distance(cur: DataFrame, ref: DataFrame) -> DataFrame:
 
 # ---- shots ------------------------------------------------------------------------------------
 
+# Cells of the luma grid and bins of a channel's histogram.
 GRID_W, GRID_H, BINS = 32, 18, 16
 
 
@@ -361,6 +363,7 @@ def _separable(mode: str, b: Column, s: Column) -> Column:
     }[mode]()
 
 
+# Names of the blend modes that work channel by channel, as published; luma weights 0.3, 0.59, 0.11 below.
 SEPARABLE = [
     "darken", "multiply", "colorBurn", "linearBurn", "lighten", "screen", "colorDodge", "linearDodge", "overlay", "softLight", "hardLight",
     "vividLight", "linearLight", "pinLight", "hardMix", "difference", "exclusion", "subtract", "divide",

@@ -14,20 +14,25 @@ from tickloom.operators.transcripts import normalize_transcript
 
 SPAN = 1 << 20
 WHOLE = 1 << 30
+#: Files read between two outputs, so that a task holds a few MiB of them.
+SLICE = 8
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    def read(path: str, size: int) -> tuple[bytes, bytes]:
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            head = f.read(SPAN)
+            f.seek(max(size - SPAN, SPAN))
+            return head, f.read(SPAN)
+
     for pdf in batches:
-        head, tail = [], []
-        for path, size in zip(pdf["path"], pdf["size"]):
-            system, name = fs.FileSystem.from_uri(path)
-            with system.open_input_file(name) as f:
-                head.append(f.read(SPAN))
-                f.seek(max(size - SPAN, SPAN))
-                tail.append(f.read(SPAN))
-        yield pd.DataFrame({"path": pdf["path"], "size": pdf["size"], "head": head, "tail": tail})
+        for at in range(0, len(pdf), SLICE):
+            part = pdf.iloc[at : at + SLICE]
+            ends = [read(p, n) for p, n in zip(part["path"], part["size"])]
+            yield pd.DataFrame({"path": part["path"], "size": part["size"], "head": [e[0] for e in ends], "tail": [e[1] for e in ends]})
 
 
 def scan_media_files(spark: SparkSession, glob: str, name_filter: str = "*") -> DataFrame:
