@@ -26,7 +26,7 @@ def main() -> None:
     spark = local_session("bench", cpus, shuffle=int(cpus) if cpus.isdigit() else 8)
     only = sys.argv[1:] or HEADLINE
     registry, took = load(), {}
-    # the derived input tables are written once; that is set-up, not query time
+    # the derived input tables are written once; their time counts in the total
     t0 = time.time()
     for build in (fx.clips, fx.words, fx.vectors):
         build(spark, d)
@@ -36,7 +36,7 @@ def main() -> None:
         registry[name][0](spark, d).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - t0, 3)
         print(name, took[name], file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "setup_sec": round(setup, 3), "sf": Path(d).name.removeprefix("sf")}))
+    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()) + setup, 3), "unit": "sec", "queries": took, "setup_sec": round(setup, 3), "sf": Path(d).name.removeprefix("sf")}))
 
 
 if __name__ == "__main__":
