@@ -37,14 +37,22 @@ def log_runs(spark, d):
     return ss.log_runs(fx.log(spark, d))
 
 
-@query("stream_log_runs", using("log", f", {RUNS}"))
-def stream_log_runs(spark, d):
+def streamed_runs(spark, d):
     s = event_log(spark, d).select(
         F.col("user_id").alias("session_id"), "ts_us", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"),
         F.concat(F.lit("s"), F.col("event_id") % 2).alias("source"), F.col("event_type").alias("message"),
     )
-    rows = live.latest(live.run_available(live.stream_log_runs(s), spark), ["session_id", "run"], ["_batch", "count"])
-    return rows.drop("_batch")
+    return live.latest(live.run_available(live.stream_log_runs(s), spark), ["session_id", "run"], ["_batch", "count"]).drop("_batch")
+
+
+@query("stream_log_runs", using("log", f", {RUNS}"))
+def stream_log_runs(spark, d):
+    return streamed_runs(spark, d)
+
+
+@query("stream_log_levels", using("log", f", r AS (WITH {RUNS}) SELECT session_id, level, CAST(sum(count) AS BIGINT) AS entries, count(*) AS runs FROM r GROUP BY 1, 2"))
+def stream_log_levels(spark, d):
+    return live.level_counts(streamed_runs(spark, d))
 
 
 @query("import_report", using("log", "SELECT level, message, count(*) AS count FROM log GROUP BY 1, 2"))
