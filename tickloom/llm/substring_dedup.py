@@ -52,6 +52,8 @@ def repeated_passages(docs: DataFrame, window: int = PASSAGE, k: int = KMER) ->
     # an edge goes straight on to a side if all its occurrences do so with one link (0: the text ends there)
     side = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
     straight = twice.groupBy("h").agg(side("left").alias("in_one"), side("right").alias("out_one")).where("in_one or out_one")
+    # a written table, so that a skewed side of the join can be split at run time
+    straight = kept.keep(straight, "straight")
     flagged = twice.select("h", "rk", "p").join(straight, "h", "left").select("rk", F.col("p").cast("long").alias("p"), (F.when(F.col("in_one"), 1).otherwise(0) + F.when(F.col("out_one"), 2).otherwise(0)).cast("long").alias("flag"))
     have, _ = with_lists(docs, flagged, ["p", "flag"])
 
