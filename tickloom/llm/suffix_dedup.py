@@ -15,6 +15,8 @@ from tickloom.llm.text import mix, prefix_sums, span_hash
 U64 = np.uint64
 #: Lengths at which positions are named. At the last one, the threshold, every position left has a name of its own.
 LENGTHS = (50, 180, 200)
+#: Pieces of texts that are named together.
+PORTION = 1024
 
 
 def _join(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
@@ -75,8 +77,8 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
 
     def parts(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
         """A batch of pieces in portions: the rows, the codes of their pieces end to end, and the pieces' sizes."""
-        for i in range(0, len(b), 4096):
-            x = b.iloc[i : i + 4096]
+        for i in range(0, len(b), PORTION):
+            x = b.iloc[i : i + PORTION]
             yield x, byte_codes(b"".join(x["piece"])), np.fromiter(map(len, x["piece"]), np.int64, len(x))
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
