@@ -232,12 +232,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of several rows with this id in the group one stays: that with the smallest row hash. Texts are read as in
     ``simhash_groups``. Columns come out unchanged, whatever their names.
     """
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
     print_of = fingerprint(F.col(text_col), shingle)
-    ids = cut_lineage(docs.select(F.col(id_col).alias("id"), print_of.alias("fp"), hashed.alias("tie")))
-    groups = ids.join(component_table(ids.select("id", "fp"), radius), "fp")
+    ids = cut_lineage(docs.select(F.col(id_col).alias("id"), print_of.alias("fp"), row_hash(docs).alias("tie")))
+    return keep_first(docs, ids.join(component_table(ids.select("id", "fp"), radius), "fp").select("id", "tie", "g"), id_col)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with one row of each group ``g`` of ``groups`` (id, tie, g): the smallest id, then the smallest ``row_hash``."""
+    hashed = row_hash(docs)
     keep = groups.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("kid"), F.col("tie").alias("ktie"))).alias("k")).select("k.kid", "k.ktie")
-    twice = ids.groupBy("id", "tie").count().where("count > 1").select(F.col("id").alias("kid"), F.col("tie").alias("ktie"))
+    twice = groups.groupBy("id", "tie").count().where("count > 1").select(F.col("id").alias("kid"), F.col("tie").alias("ktie"))
     found = docs.join(keep, F.col(id_col).eqNullSafe(F.col("kid")) & (hashed == F.col("ktie")), "left_semi")
     if twice.isEmpty():
         return found
