@@ -61,6 +61,31 @@ def scan_captions_warnings(spark, d):
     return sc.scan_srt(lines)[1]
 
 
+CLOCK_I = "lpad(CAST(i // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i % 60 AS VARCHAR), 2, '0')"
+
+
+@query("scan_captions_warnings_whole", using("captions", f""", k AS (SELECT *, caption_id % 1000000 AS i FROM captions)
+SELECT CAST(track_id AS VARCHAR) AS path, 'line ' || (7 + i * 5) || ': ignored stray text "stray ' || caption_id || '"' AS message FROM k
+UNION ALL SELECT CAST(track_id AS VARCHAR), 'cue at ' || {CLOCK_I} || ',500 has end before start; skipped' FROM k WHERE caption_id % 3 = 0"""))
+def scan_captions_warnings_whole(spark, d):
+    """As ``scan_captions_warnings``, over all captions of every track."""
+    c = fx.captions(spark, d).withColumn("i", F.col("caption_id") % 1_000_000)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    at = lambda s: F.concat(two(F.call_function("div", s, F.lit(3600))), F.lit(":"), two(F.call_function("div", s, F.lit(60)) % 60), F.lit(":"), two(s % 60))
+    t = F.concat(at(F.col("i")), F.lit(",500 --> "), at(F.col("i") + F.when(F.col("caption_id") % 3 == 0, 0).otherwise(1)), F.lit(",200"))
+    ls = F.array(F.lit("7"), t, F.lit("text"), F.lit(""), F.lit(""), F.concat(F.lit("stray "), F.col("caption_id")))
+    lines = c.select(F.col("track_id").cast("string").alias("path"), "i", F.posexplode(ls).alias("k", "line"))
+    lines = lines.select("path", (F.col("i") * 5 + F.col("k") + 1).alias("pos"), "line").filter("line != '7' or pos = 1")
+    return sc.scan_srt(lines)[1]
+
+
+@query("scan_captions_vtt_whole", using("captions", f"SELECT CAST(track_id AS VARCHAR) AS track_id, greatest(start - {MS * 5000}, 0) AS start, start + duration - {MS * 5000} AS \"end\", text, CASE WHEN caption_id % 2 = 0 THEN 'Voice ' || (caption_id % 3) END AS speaker FROM captions WHERE start + duration > {MS * 5000}"))
+def scan_captions_vtt_whole(spark, d):
+    """As ``scan_captions_vtt``, over all captions: the writer's offset drops what ends before it and clamps what it cuts."""
+    cues, _ = sc.scan_vtt(as_lines(sc.write_captions(spoken(spark, d), fmt="vtt", offset=5000 * MS), "track_id"))
+    return cues.select(F.col("path").alias("track_id"), "start", "end", "text", "speaker")
+
+
 NDF = "SELECT c.track_id, c.clip_id, c.kind, c.name, c.start, c.duration, c.source_in, c.speed, m.start_timecode FROM clips c LEFT JOIN media m USING (item_id)"
 F25 = 10_160_640_000
 
