@@ -147,7 +147,7 @@ def stream_levels(spark, d):
 @query("stream_loudness", using("samples", f", {SER}, {gated('momentary', 'em', 3, 10)}, fin AS (SELECT stream_id, -0.691::DOUBLE + 10 * log10(sum(e) / sum(m)) AS l FROM kp GROUP BY 1) SELECT stream_id, block, round(momentary, 6) AS momentary, round(short_term, 6) AS short_term, round(l, 6) AS integrated FROM se JOIN fin USING (stream_id) WHERE block = (SELECT max(block) FROM se x WHERE x.stream_id = se.stream_id)"))
 def stream_loudness(spark, d):
     rows = live.run_available(live.stream_loudness(folder_stream(spark, d, "blocks", lambda: blocks(spark, d))), spark)
-    last = live.latest(rows, ["stream_id"], ["block"])
+    last = live.latest(rows.where("not late"), ["stream_id"], ["block", "_batch"])
     return rounded(last.select("stream_id", "block", "momentary", "short_term", "integrated"), "momentary", "short_term", "integrated")
 
 
