@@ -14,3 +14,20 @@ def test_whole_table(spark, name, more):
     ok, n, got, want, _, _ = oracle.compare(spark, oracle.connect(D), D, fn, sql)
     assert ok, (list((got - want).items())[:3], list((want - got).items())[:3])
     assert n > load()[more][0](spark, D).count()
+
+
+@pytest.mark.parametrize("name", ["write_edl_cuts", "write_edl_sources", "write_edl_warnings"])
+def test_cut_lists(spark, name):
+    fn, sql = load()[name]
+    ok, _, got, want, _, _ = oracle.compare(spark, oracle.connect(D), D, fn, sql)
+    assert ok, (list((got - want).items())[:3], list((want - got).items())[:3])
+
+
+def test_reels_of_several_files_are_reported(spark):
+    from tickloom.sources import interchange as ic
+
+    clips = spark.createDataFrame([(1, k, k, "video", f"c{k}", k * 1000, 1000, 0, 1.0) for k in range(4)], "track_id long, clip_id long, item_id long, kind string, name string, start long, duration long, source_in long, speed double")
+    media = spark.createDataFrame([(0, "/m/interview_1.mov", 0), (1, "/m/interview_2.mov", 0), (2, "/m/other.mov", 0)], "item_id long, path string, start_timecode long")
+    lines, warnings = ic.write_edl_cuts(clips, media, 25, 1, source_files=True)
+    assert sorted(r.message for r in warnings.collect()) == [f"reel INTERVIE stands for 2 files: /m/interview_{k}.mov" for k in (1, 2)]
+    assert sum("* SOURCE FILE: /m/interview_" in r.line for r in lines.collect()) == 2

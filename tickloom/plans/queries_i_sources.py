@@ -223,3 +223,17 @@ def write_ale(spark, d):
 FROM (SELECT c.track_id, c.kind, c.name, m.path, row_number() OVER (PARTITION BY track_id ORDER BY start, clip_id) - 1 AS pos, start // ft AS r0, (start + c.duration) // ft AS r1, source_in // ft + coalesce(start_timecode // {F25}, 0) AS s0, source_in // ft + CAST(c.duration // ft * speed AS BIGINT) + coalesce(start_timecode // {F25}, 0) AS s1 FROM clips c LEFT JOIN media m USING (item_id))"""))
 def write_edl_cuts(spark, d):
     return ic.write_edl_cuts(on25(spark, d), fx.media(spark, d), 25, 1)[0]
+
+
+@query("write_edl_sources", using("clips media", "SELECT CAST(track_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY track_id ORDER BY start, clip_id) AS event, m.path AS source_file FROM clips c LEFT JOIN media m USING (item_id)"))
+def write_edl_sources(spark, d):
+    """The full path of every event, written as a note and read back."""
+    lines, _ = ic.write_edl_cuts(on25(spark, d), fx.media(spark, d), 25, 1, source_files=True)
+    return ic.scan_edl(as_lines(lines, "track_id"), 25, 1)[0].select("path", "event", "source_file")
+
+
+@query("write_edl_warnings", using("clips media", """, f AS (SELECT DISTINCT track_id, coalesce(path, 'AX') AS file, left(upper(regexp_replace(regexp_replace(regexp_extract(coalesce(path, 'AX'), '[^/]*$'), '\\.[^.]*$', ''), '[^A-Za-z0-9_]', '', 'g')), 8) AS reel FROM clips c LEFT JOIN media m USING (item_id))
+SELECT track_id, 'reel ' || reel || ' stands for ' || count(*) OVER w || ' files: ' || file AS message FROM f WINDOW w AS (PARTITION BY track_id, reel) QUALIFY count(*) OVER w > 1"""))
+def write_edl_warnings(spark, d):
+    """Each file of a track whose cut reel stands for others too."""
+    return ic.write_edl_cuts(on25(spark, d), fx.media(spark, d), 25, 1)[1]
