@@ -128,11 +128,18 @@ def op5(spark, d):
 
 
 def labelled_secrets(found: DataFrame) -> DataFrame:
-    """Findings whose format settles them: issued key, 40-hex token and long hex password, or address, number, phone and card."""
-    true = r"^(AKIA[A-Z0-9]{16}|[0-9a-f]{40}|[0-9a-f]{18})$"
-    false = r"^([0-9.\-:]+|.*@.*|.*[a-z]{6,}.*)$"
-    v = F.col("value")
-    return found.withColumn("label", F.when(v.rlike(true), True).when(v.rlike(false), False))
+    """Findings that their format or context settles; the others have a null label.
+
+    True: issued keys, hex tokens and passwords in either case, what follows a name or stands in a URL's login and is
+    more than letters. False: numbers, phones, cards and whole mail addresses. Letters or an ``@`` alone settle nothing.
+    """
+    true = r"^(A[KS]IA[A-Z0-9]{16}|[0-9a-f]{40}|[0-9a-f]{18}|[0-9A-F]{40}|[0-9A-F]{18}|gh[a-z]_[A-Za-z0-9]{20,}|(sk|pk|rk)[-_][A-Za-z0-9_\-]{16,})$"
+    number = r"^[0-9.\-:+/]+$"
+    mail = r"^[A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}$"
+    v, context = F.col("value"), F.greatest(*[F.col("features")[secrets.FEATURES.index(x)] for x in ("named", "credential")]) > 0
+    sample = F.col("features")[secrets.FEATURES.index("sample_word")] > 0
+    told = context & ~sample & v.rlike(r"[^A-Za-z]") & (F.length(v) >= 6)
+    return found.withColumn("label", F.when(v.rlike(number) & ~context, False).when(v.rlike(true) | told, True).when(v.rlike(mail) & ~context, False))
 
 
 @query("op8_secret_forest")

@@ -18,10 +18,18 @@ SAMPLE = 20_000
 TREES = 48
 DEPTH = 9
 
-#: A candidate is a run of token characters of at least this length with a digit in it.
+#: A candidate is a part of a run of token characters of at least this length with a digit in it, or what follows a
+#: name such as ``password =``, then of any characters and at least the second length.
 LEAST = 10
+NAMED_LEAST = 4
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/=_.@:\-]{%d,}" % LEAST)
 _DIGIT = re.compile(rb"[0-9]")
+#: Parts of a run; padding at the end of a part belongs to it.
+_PART = re.compile(rb"[^=:]+(?:=+(?=:|\Z))?")
+_NAME = re.compile(rb"""(?i)(?:(?:key|token|secret|passw|pwd|auth|credential)[\w\-]{0,40}["']?[ \t]{0,8}(?:=>|:=|[=:])|bearer)[ \t]{0,8}""")
+_VALUE = re.compile(rb"""(?:"([^"\r\n]{%d,})"|'([^'\r\n]{%d,})'|["']?([^\s"']\S{%d,}))""" % (NAMED_LEAST, NAMED_LEAST, NAMED_LEAST - 1))
+_DIRECT = re.compile(_NAME.pattern + rb"""["']?\Z""")
+_USER = re.compile(rb"://[^\s/:@]{0,40}:\Z")
 _NAMED = re.compile(rb"(?i)(key|token|secret|passw|pwd|auth|credential|bearer)")
 _SAMPLE_WORD = re.compile(rb"(?i)(example|sample|dummy|test|fake|placeholder|changeme|xxxx|your)")
 #: Common parts of identifiers and prose, for dictionary coverage.
@@ -36,22 +44,33 @@ DICTIONARY = (
     "type update upload user value version video view with word world write year your"
 ).split()
 _WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)).encode())
-FEATURES = ("length", "transitions", "digits", "upper", "lower", "other", "entropy", "longest_run", "hex", "coverage", "sample_word", "name_before", "assigned", "quoted", "words_before", "path_depth", "path_test")
+FEATURES = ("length", "transitions", "digits", "upper", "lower", "other", "entropy", "longest_run", "hex", "coverage", "sample_word", "name_before", "assigned", "quoted", "words_before", "path_depth", "path_test", "named", "credential")
 
 
 def candidates_of(text: bytes | None) -> list[tuple[int, int]]:
-    """Byte ranges of the candidates of a whole text. ``name=value`` and ``name:value`` count by their value."""
-    found = []
-    for m in _CANDIDATE.finditer(text or b""):
-        a, b = m.span()
-        run = m.group()
-        cut = max(run.rstrip(b"=").rfind(b"="), run.rstrip(b":").rfind(b":"))
-        a += cut + 1
-        while b > a and text[b - 1 : b] in (b".", b":", b"-"):
-            b -= 1
-        if b - a >= LEAST and _DIGIT.search(text, a, b):
-            found.append((a, b))
-    return found
+    """Byte ranges of the candidates of a whole text, in order; they can overlap.
+
+    Every part of a run between ``=`` and ``:`` is one, and what stands before the ``@`` of ``user:value@host``. Values
+    behind a name (``password = "..."``) are candidates whatever characters they have, also up to their first ``&``.
+    """
+    text, found = text or b"", set()
+    for m in _CANDIDATE.finditer(text):
+        for part in _PART.finditer(m.group()):
+            a, b = m.start() + part.start(), m.start() + part.end()
+            at = text.rfind(b"@", a, b) if text[a - 1 : a] == b":" and a > m.start() else -1
+            for b in (b, at):
+                while b > a and text[b - 1 : b] in (b".", b":", b"-"):
+                    b -= 1
+                if b - a >= LEAST and _DIGIT.search(text, a, b):
+                    found.add((a, b))
+    for m in _NAME.finditer(text):
+        if v := _VALUE.match(text, m.end()):
+            a, b = v.span(v.lastindex)
+            if v.lastindex == 3:
+                b = a + len(text[a:b].rstrip(b"\"',;"))
+            cut = text.find(b"&", a, b)
+            found |= {(a, e) for e in (b, cut) if e - a >= NAMED_LEAST}
+    return sorted(found)
 
 
 def features_of(text: bytes, a: int, b: int, path: str | None) -> list[float]:
@@ -73,6 +92,7 @@ def features_of(text: bytes, a: int, b: int, path: str | None) -> list[float]:
         float(np.diff(np.concatenate(([-1], change, [n - 1]))).max()), float(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", value) is not None),
         sum(len(m) for m in _WORDS.findall(value.lower())) / n, float(_SAMPLE_WORD.search(value) is not None), float(_NAMED.search(b" ".join(words[-3:])) is not None),
         float(last[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'")), float(len(words)), float(where.count("/")), float("test" in where or "example" in where),
+        float(_DIRECT.search(before) is not None), float(text[b : b + 1] == b"@" and _USER.search(before) is not None),
     ]
 
 
