@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from tickloom.llm import decontaminate, merkle, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from tickloom.llm.text import held_out
 from tickloom.session import cut_lineage, shared_folder
 
@@ -142,6 +142,40 @@ def labelled_secrets(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(v.rlike(number) & ~context, False).when(v.rlike(true) | told, True).when(v.rlike(mail) & ~context, False))
 
 
+@query(
+    "op11_merkle_manifest",
+    r"""
+with recursive f as (select doc_id, source, lang, n_chars, text, case when text is null then null when tamper then replace(text, chr(10), '') else text end as other from (
+    select *, doc_id is not null and list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, 3988292384 * (x % 2)))) % 2 = 1 as tamper from documents)),
+h as (select doc_id, source,
+        concat(coalesce(concat(strlen(cast(doc_id as varchar)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(cast(n_chars as varchar)), ':', n_chars), '-')) as head, text, other from f),
+l as (select doc_id, source, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) as leaf, sha256(concat(head, coalesce(concat(strlen(other), ':', other), '-'))) as claim from h),
+leaves as (select *, row_number() over (order by doc_id nulls first, leaf) as k, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n, dense_rank() over (order by source nulls first) as tree from l),
+up as (select tree, 0 as level, pos, n, leaf as digest from leaves
+    union all select tree, level + 1, pos // 3, max((n + 2) // 3), sha256(string_agg(digest, '' order by pos)) from up where n > 1 group by tree, level, pos // 3),
+tops as (select tree, digest as subroot from up where n = 1),
+over as (select 0 as level, tree - 1 as pos, (select count(*) from tops) as n, subroot as digest from tops
+    union all select level + 1, pos // 3, max((n + 2) // 3), sha256(string_agg(digest, '' order by pos)) from over where n > 1 group by level, pos // 3),
+nodes as (select tree, level, pos, n, digest from up where n > 1 union all select 0, level, pos, n, digest from over where n > 1),
+linked as (select a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos < a.pos), '') as before, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos > a.pos), '') as after,
+        case when a.tree > 0 and a.n <= 3 then 0 else a.tree end as p_tree, case when a.tree > 0 and a.n <= 3 then 0 else a.level + 1 end as p_level, case when a.tree > 0 and a.n <= 3 then a.tree - 1 else a.pos // 3 end as p_pos
+    from nodes a join nodes b on a.tree = b.tree and a.level = b.level and a.pos // 3 = b.pos // 3 group by a.tree, a.level, a.pos, a.n),
+climb as (select k, case when n > 1 then tree else 0 end as tree, 0 as level, case when n > 1 then pos else tree - 1 end as pos, claim as digest, '' as proof from leaves
+    union all select c.k, p_tree, p_level, p_pos, sha256(concat(before, digest, after)), concat(proof, before, after) from climb c join linked x on c.tree = x.tree and c.level = x.level and c.pos = x.pos),
+ended as (select k, digest as folded_root, sha256(proof) as proof_sha256 from climb c where not exists (select 1 from linked x where c.tree = x.tree and c.level = x.level and c.pos = x.pos))
+select doc_id, leaf, subroot, (select digest from over where n = 1) as root, proof_sha256, folded_root, folded_root = (select digest from over where n = 1) as verified
+from leaves join ended using (k) join tops using (tree)
+""",
+)
+def op11(spark, d):
+    docs = table(spark, d, "documents")
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    m = merkle.manifest(docs, new_folder(spark, "merkle"), found={"text": F.when(odd, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    c = merkle.check(m)
+    return c.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
 @query("op8_secret_forest")
 def op8(spark, d):
     found = cut_lineage(secrets.findings(table(spark, d, "documents")))
