@@ -190,14 +190,14 @@ def climb(m: Manifest) -> DataFrame:
 with recursive climb(g, step, digest, siblings, tree, level, pos, id, leaf, of) as (
     select * from {start}
     union all
-    select c.g, c.step + 1, unhex(sha2(lower(hex(concat(n.before, c.digest, n.after))), 256)), concat(n.before, n.after), n.p_tree, n.p_level, n.p_pos, {none}, cast(null as binary), cast(null as bigint)
+    select c.g, c.step + 1, unhex(sha2(lower(hex(concat(n.before, c.digest, n.after))), 256)), concat(n.before, n.after), n.p_tree, n.p_level, n.p_pos, nullif(c.id, c.id), cast(null as binary), cast(null as bigint)
     from climb c join {nodes} n on c.tree = n.tree and c.level = n.level and c.pos = n.pos
 )
 select g, max(id) as id, max(leaf) as leaf, max(of) as tree, max_by(digest, step) as folded,
     sha2(array_join(transform(sort_array(collect_list(struct(step, siblings))), x -> lower(hex(x.siblings))), ''), 256) as proof
 from climb group by g"""
     with _any_number_of_rows(spark):
-        spark.sql(sql, start=start, nodes=m.nodes, none=F.lit(None).cast(start.schema["id"].dataType)).write.parquet(path)
+        spark.sql(sql, start=start, nodes=m.nodes).write.parquet(path)
     return spark.read.parquet(path)
 
 
