@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.numbering import numbered
+from tickloom.llm.settings import setting
 
 #: Children of a node.
 ARITY = 3
@@ -164,18 +164,6 @@ def manifest(docs: DataFrame, path: str, fields: tuple[str, ...] = ("doc_id", "s
     return Manifest(spark, path, root, trees)
 
 
-@contextlib.contextmanager
-def _any_number_of_rows(spark: SparkSession):
-    """Recursive queries stop at a million rows by default; a climb makes one per leaf and level. Set back afterwards."""
-    name = "spark.sql.cteRecursionRowLimit"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "-1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
-
-
 def climb(m: Manifest) -> DataFrame:
     """One row per leaf: (g, id, leaf, tree, folded, proof), written under the manifest's folder and read again.
 
@@ -196,7 +184,8 @@ with recursive climb(g, step, digest, siblings, tree, level, pos, id, leaf, of)
 select g, max(id) as id, max(leaf) as leaf, max(of) as tree, max_by(digest, step) as folded,
     sha2(array_join(transform(sort_array(collect_list(struct(step, siblings))), x -> lower(hex(x.siblings))), ''), 256) as proof
 from climb group by g"""
-    with _any_number_of_rows(spark):
+    # recursive queries stop at a million rows by default; a climb makes one per leaf and level
+    with setting(spark, "spark.sql.cteRecursionRowLimit", "-1"):
         spark.sql(sql, start=start, nodes=m.nodes).write.parquet(path)
     return spark.read.parquet(path)
 

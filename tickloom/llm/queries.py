@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, merkle, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from tickloom.llm import decontaminate, merkle, mixing, quality_model, quality_rules, secrets, sharding, simhash, substring_dedup, suffix_dedup, token_files, toxicity, whitening
 from tickloom.llm.text import held_out
 from tickloom.session import cut_lineage, shared_folder
 
@@ -176,6 +176,20 @@ def op11(spark, d):
     return c.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
 
 
+@query("op12_simple8b_tokens")
+def op12(spark, d):
+    import public_tokenizers
+
+    r = token_files.token_files(table(spark, d, "documents"), new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return r.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op13_polarised_whitening")
+def op13(spark, d):
+    w = whitening.whitened(table(spark, d, "embeddings"), most=8)
+    return w.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 @query("op8_secret_forest")
 def op8(spark, d):
     found = cut_lineage(secrets.findings(table(spark, d, "documents")))
