@@ -13,6 +13,14 @@ LANES = [(1, 0), (0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (
 _COUNT = np.array([c for c, _ in LANES], np.int64)
 
 
+def _width(v: np.ndarray) -> np.ndarray:
+    """Bits of each number."""
+    if int(v.max(initial=0)) < 1 << 53:
+        return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    high = v >> U64(32)
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, np.frexp((v & U64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids -> (words, first word of every block and the end, escapes, first escape of every block and the end).
 
@@ -29,17 +37,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if blocks:
         size[-1] = n - (blocks - 1) * BLOCK
     best = np.zeros((blocks, BLOCK), np.uint8)
-    at, widest = np.arange(BLOCK), int(v.max(initial=0)).bit_length()
+    at, width = np.arange(BLOCK, dtype=np.int16), _width(grid)
+    widest = int(width.max(initial=0))
     for s in range(len(LANES) - 1, 1, -1):
         count, bits = LANES[s]
         if bits >= widest:
             # nothing is too wide
             best[:] = s
             continue
-        wide = np.where(grid >> U64(bits) > 0, at, BLOCK + 60)
-        free = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1] - at
-        best[free >= count] = s
-    pos, step = np.zeros(blocks, np.int64), 0
+        # how many ids from here on fit, by the next one that does not
+        free = np.where(width > bits, at, np.int16(BLOCK + 60))[:, ::-1]
+        np.minimum.accumulate(free, axis=1, out=free)
+        np.copyto(best, np.uint8(s), where=free[:, ::-1] - at >= count)
+    pos = np.zeros(blocks, np.int64)
     b_of, p_of, s_of = [], [], []
     live = np.arange(blocks)
     while len(live):
@@ -50,17 +60,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         s_of.append(s)
         pos[live] = p + _COUNT[s]
         live = live[pos[live] < size[live]]
-        step += 1
     b, p, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (b_of, p_of, s_of))
-    order = np.lexsort((p, b))
-    b, p, s = b[order], p[order], s[order].astype(np.int64)
+    # by block; a block's words are in order already
+    order = np.argsort(b.astype(np.uint32), kind="stable")
+    b, p, s = b[order], p[order], s[order].astype(np.uint8)
     words = s.astype(U64) << U64(60)
-    padded = np.concatenate([grid, np.zeros((blocks, 60), U64)], axis=1)
+    flat = np.concatenate([grid, np.zeros((blocks, 60), U64)], axis=1).ravel()
+    place = b * (BLOCK + 60) + p
     for k, (count, bits) in enumerate(LANES):
         here = np.flatnonzero(s == k)
         if k > 1 and len(here):
-            lanes = padded[b[here][:, None], p[here][:, None] + np.arange(count)]
-            words[here] |= np.bitwise_or.reduce(lanes << (np.arange(count, dtype=U64) * U64(bits)), axis=1)
+            first, word = place[here], words[here]
+            for i in range(count):
+                word |= flat[first + i] << U64(i * bits)
+            words[here] = word
     out = np.flatnonzero(s == 0)
     edges = np.arange(blocks + 1)
     return words, np.searchsorted(b, edges), grid[b[out], p[out]], np.searchsorted(b[out], edges)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,9 @@ MAGIC = b"TLTOK8B1"
 #: words, escapes, documents, ids, blocks, checksum of all before
 TRAILER = struct.Struct("<5QI8s")
 #: Ids that are packed together, ids after which a new file is begun, and pieces whose ids a worker remembers.
-PORTION, FILE, REMEMBERED = 256 * BLOCK, 1 << 26, 250_000
-BATCH = "16m"
+PORTION, FILE, REMEMBERED = 256 * BLOCK, 1 << 26, 300_000
+#: Characters that are tokenised together, and bytes of an Arrow batch.
+TEXTS, BATCH = 1 << 19, "4m"
 
 
 def open_at(uri: str) -> tuple[fs.FileSystem, str]:
@@ -118,62 +121,91 @@ class Reader:
         return got[start - a * BLOCK : stop - a * BLOCK]
 
 
+class _Places(dict):
+    """Numbers keys as they come and notes the new ones."""
+
+    def __init__(self, fresh: list[str]) -> None:
+        super().__init__()
+        self.fresh = fresh
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        self.fresh.append(key)
+        return place
+
+
 class PieceCache:
     """Ids of texts, tokenised piece by piece; pieces already seen are looked up.
 
     The tokenizer never joins a letter to the punctuation after it, nor a character that is not white space to white
     space after it, so a text may be cut there and its pieces be encoded alone: the ids are those of the whole text.
-    Texts with the separators 0x1C to 0x1F, which only Python takes for white space, are encoded whole. The cache is
-    emptied when full, which changes no result.
+    Texts with the separators 0x1C to 0x1F, which only Python takes for white space, are encoded whole. Once
+    ``REMEMBERED`` pieces are known, later ones are tokenised again each time, which changes no result.
     """
 
     piece = re.compile(r"\s*[A-Za-z]++(?=[\s.,;:!?]|$)|\s*\S+|\s+")
     odd = re.compile("[\x1c-\x1f]")
+    simple = re.compile(r" ?[!-~]+")
 
     def __init__(self, path: str) -> None:
+        # Spark runs a task per core; threads of the tokenizer's own would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._clear()
-
-    def _clear(self) -> None:
-        outer = self
-
-        class Places(dict):
-            def __missing__(self, key: str) -> int:
-                self[key] = place = len(self)
-                outer.new.append(key)
-                return place
-
-        self.places, self.new = Places(), []
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.fresh: list[str] = []
+        self.places = _Places(self.fresh)
         self.lengths, self.starts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self, n: int) -> None:
+        """Keeps the first ``n`` pieces."""
+        for key in self.fresh[n - len(self.places) :]:
+            del self.places[key]
+        self.lengths, self.starts = self.lengths[:n], self.starts[:n]
+        self.pool = self.pool[: self.starts[-1] + self.lengths[-1]] if n else self.pool[:0]
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. Pieces without a line feed are laid end to end with one between them, which is a token of its own there."""
+        out: list[list[int]] = [[]] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if self.simple.fullmatch(p)]
+        other = [k for k, p in enumerate(pieces) if not self.simple.fullmatch(p)]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([pieces[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        for a in range(0, len(plain), 4096):
+            part = plain[a : a + 4096]
+            ids = self.tokenizer.encode_batch_fast(["\n".join(pieces[k] for k in part)], add_special_tokens=False)[0].ids
+            start = 0
+            for k in part[:-1]:
+                stop = ids.index(self.feed, start)
+                out[k] = ids[start:stop]
+                start = stop + 1
+            out[part[-1]] = ids[start:]
+        return out
 
     def _learn(self) -> None:
-        ids = self._whole(self.new)
+        ids = self._encoded(self.fresh)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
-        self.new = []
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, ids laid end to end)."""
-        if len(self.places) > REMEMBERED:
-            self._clear()
         pieces = [[t] if self.odd.search(t) else self.piece.findall(t) for t in texts]
         n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter((p for x in pieces for p in map(self.places.__getitem__, x)), np.int64, int(n_pieces.sum()))
-        if self.new:
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
+        if self.fresh:
             self._learn()
         n = self.lengths[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
+        if len(self.places) > REMEMBERED:
+            self._forget(max(REMEMBERED, len(self.places) - len(self.fresh)))
+        self.fresh.clear()
         return np.diff(upto), ids
 
 
@@ -191,7 +223,7 @@ def bpe(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     return encode
 
 
-def _portions(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _portions(texts: list[str], most: int = TEXTS) -> Iterator[tuple[int, int]]:
     """Ranges of texts with some ``most`` characters each."""
     start = size = 0
     for i, t in enumerate(texts):
