@@ -45,6 +45,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
             # nothing is too wide
             best[:] = s
             continue
+        # a run of ``count`` ids covers a window of half as many that starts at a multiple of their number
+        half = count // 2
+        if half > 1 and not (width[:, : BLOCK // half * half].reshape(blocks, -1, half) <= bits).all(axis=2).any() and not (width[:, -count:] <= bits).all(axis=1).any():
+            continue
         # how many ids from here on fit, by the next one that does not
         free = np.where(width > bits, at, np.int16(BLOCK + 60))[:, ::-1]
         np.minimum.accumulate(free, axis=1, out=free)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -24,7 +25,7 @@ MAGIC = b"TLTOK8B1"
 #: words, escapes, documents, ids, blocks, checksum of all before
 TRAILER = struct.Struct("<5QI8s")
 #: Ids that are packed together, ids after which a new file is begun, and pieces whose ids a worker remembers.
-PORTION, FILE, REMEMBERED = 256 * BLOCK, 1 << 26, 300_000
+PORTION, FILE, REMEMBERED = 256 * BLOCK, 1 << 26, 1_000_000
 #: Characters that are tokenised together, and bytes of an Arrow batch.
 TEXTS, BATCH = 1 << 19, "4m"
 
@@ -121,6 +122,16 @@ class Reader:
         return got[start - a * BLOCK : stop - a * BLOCK]
 
 
+def _letters() -> dict[int, int]:
+    """Byte-level BPE writes every byte as a letter: printable ones as themselves, the others from code point 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+
+
+LETTER_OF = _letters()
+SPACE = chr(LETTER_OF[0x20])
+
+
 class _Places(dict):
     """Numbers keys as they come and notes the new ones."""
 
@@ -139,13 +150,14 @@ class PieceCache:
 
     The tokenizer never joins a letter to the punctuation after it, nor a character that is not white space to white
     space after it, so a text may be cut there and its pieces be encoded alone: the ids are those of the whole text.
-    Texts with the separators 0x1C to 0x1F, which only Python takes for white space, are encoded whole. Once
+    Texts with the separators 0x1C to 0x1F, which only Python takes for white space, are encoded whole, and so are all
+    texts if the tokenizer is no byte-level BPE. Once
     ``REMEMBERED`` pieces are known, later ones are tokenised again each time, which changes no result.
     """
 
-    piece = re.compile(r"\s*[A-Za-z]++(?=[\s.,;:!?]|$)|\s*\S+|\s+")
+    piece = re.compile(r" ?[A-Za-z]++(?=[\s.,;:!?]|$)| ?\S+|\s+(?!\S)|\s+")
+    word = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
     odd = re.compile("[\x1c-\x1f]")
-    simple = re.compile(r" ?[!-~]+")
 
     def __init__(self, path: str) -> None:
         # Spark runs a task per core; threads of the tokenizer's own would only add memory
@@ -154,47 +166,37 @@ class PieceCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        form = json.loads(self.tokenizer.to_str())
+        step = form["pre_tokenizer"] or {}
+        # only a byte-level BPE that cuts words itself and changes nothing before can be taken piece by piece
+        self.by_piece = form["model"]["type"] == "BPE" and form["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.fresh: list[str] = []
         self.places = _Places(self.fresh)
         self.lengths, self.starts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _forget(self, n: int) -> None:
-        """Keeps the first ``n`` pieces."""
-        for key in self.fresh[n - len(self.places) :]:
-            del self.places[key]
-        self.lengths, self.starts = self.lengths[:n], self.starts[:n]
-        self.pool = self.pool[: self.starts[-1] + self.lengths[-1]] if n else self.pool[:0]
-
-    def _encoded(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece. Pieces without a line feed are laid end to end with one between them, which is a token of its own there."""
-        out: list[list[int]] = [[]] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if self.simple.fullmatch(p)]
-        other = [k for k, p in enumerate(pieces) if not self.simple.fullmatch(p)]
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([pieces[k] for k in other], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = self.tokenizer.encode_batch_fast(["\n".join(pieces[k] for k in part)], add_special_tokens=False)[0].ids
-            start = 0
-            for k in part[:-1]:
-                stop = ids.index(self.feed, start)
-                out[k] = ids[start:stop]
-                start = stop + 1
-            out[part[-1]] = ids[start:]
-        return out
-
     def _learn(self) -> None:
-        ids = self._encoded(self.fresh)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        """Tokenises the new pieces: words of Latin letters by the model alone, the others by the whole tokenizer."""
+        ids: list[list[int]] = [[]] * len(self.fresh)
+        other, is_word, tokenize = [], self.word.fullmatch, self.model.tokenize
+        for k, p in enumerate(self.fresh):
+            if is_word(p):
+                letters = p.replace(" ", SPACE) if p.isascii() else p.encode().decode("latin-1").translate(LETTER_OF)
+                ids[k] = [t.id for t in tokenize(letters)]
+            else:
+                other.append(k)
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([self.fresh[k] for k in other], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, ids laid end to end)."""
-        pieces = [[t] if self.odd.search(t) else self.piece.findall(t) for t in texts]
+        pieces = [self.piece.findall(t) if self.by_piece and not self.odd.search(t) else [t] for t in texts]
         n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        known, size = len(self.places), len(self.pool)
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
         if self.fresh:
             self._learn()
@@ -204,7 +206,9 @@ class PieceCache:
         ids = self.pool[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
         if len(self.places) > REMEMBERED:
-            self._forget(max(REMEMBERED, len(self.places) - len(self.fresh)))
+            for piece in self.fresh:
+                del self.places[piece]
+            self.lengths, self.starts, self.pool = self.lengths[:known], self.starts[:known], self.pool[:size]
         self.fresh.clear()
         return np.diff(upto), ids
 
