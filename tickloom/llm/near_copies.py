@@ -1,4 +1,4 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, found by a prefix-filter join over distinct texts."""
+"""Near duplicates by exact Jaccard similarity of word shingles: SimHash neighbours first, then a signature join over distinct texts."""
 
 from __future__ import annotations
 
@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.sampling import bounded
-from tickloom.llm.simhash import keep_first, row_hash
+from tickloom.llm.simhash import keep_first, near_pairs, row_hash
 from tickloom.session import cut_lineage
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH = 5
 SHARE = (4, 5)
+#: Differing bits of two SimHash fingerprints that are compared first. It decides speed, never results.
+RADIUS = 3
 #: Texts that the order of shingles is learned from, and the most shingles that it holds. It decides speed, never results.
 SAMPLE = 4000
 COMMON = 30_000
 #: Most keys that are sent to all tasks (8 bytes each); beyond it the texts are shuffled.
 SENT = 500_000
-LEADERS = 4
+#: Rounds in which every text is compared with the best leader of a signature only.
+ROUNDS = 2
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,8 +55,20 @@ def shingles_of(text: bytes | None, width: int = WIDTH) -> tuple[int, np.ndarray
     return key, np.unique(h ^ (h >> np.uint64(32)))
 
 
-def prefix_of(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (count in the sample, hash): two sets that are similar enough share one of them."""
+def fingerprint_of(h: np.ndarray) -> int:
+    """SimHash of distinct shingles: a bit is set if more than half of them have it."""
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h)).view(np.int64)[0])
+
+
+def signatures_of(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of neighbours in the order (count in the sample, hash) of a text's shingles, a start mark before the first.
+
+    Let two sets of a and b shingles have d of them on one side only, at most (1 - s) / (1 + s) * (a + b) at similarity
+    s. In the common order, d + 1 gaps lie between the first d + 2 shared shingles (the start mark is the first), and
+    each of the d others breaks one gap at most, so one pair of neighbours is the same in both. The first text needs its
+    shared and its own shingles for that, 2 * (1 - s) * a at most besides the first two.
+    """
     n = len(h)
     if not n:
         return h
@@ -61,8 +76,9 @@ def prefix_of(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarr
     if len(common):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         seen = np.where(common[at] == h, counts[at], 0)
-    least = -(-n * SHARE[0] // SHARE[1])
-    return h[np.lexsort((h, seen))[: n - least + 1]]
+    first = h[np.lexsort((h, seen))[: 2 * (SHARE[1] - SHARE[0]) * n // SHARE[1] + 1]]
+    pairs = np.concatenate([np.zeros(1, np.uint64), first[:-1]]) * _P + first
+    return (pairs ^ (pairs >> np.uint64(31))) * _Q
 
 
 def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +88,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(t)[1].view(np.int64) for t in texts], dtype=object)
 
+    # chosen by the hash of the text, so copies come together and count once
     some = bounded(docs.select(F.col(text_col).cast("binary").alias("t")), F.col("t"), SAMPLE).distinct()
     top = some.select(F.explode(shingles("t")).alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     h, n = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
@@ -102,10 +119,11 @@ def _alike(n: Column, m: Column) -> Column:
     return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
 
 
-def _can_reach(shared: Column, n: Column, m: Column) -> Column:
-    """Whether sets of n and m shingles that share so many prefix shingles can be similar: the rest of one lies behind its prefix."""
-    rest = lambda k: F.ceil(k * SHARE[0] / SHARE[1]) - 1
-    return (shared + F.greatest(rest(n), rest(m))) * sum(SHARE) >= (n + m) * SHARE[0]
+def _can_reach(i: Column, n: Column, j: Column, m: Column) -> Column:
+    """Whether sets of n and m shingles that share the neighbours at i and j of their orders can be similar: what lies
+    before them on the one side is shared with what lies before on the other, and likewise behind."""
+    both = F.least(i, j) + F.least(n - i, m - j)
+    return both * sum(SHARE) >= (n + m) * SHARE[0]
 
 
 def similar(pairs: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
@@ -133,52 +151,77 @@ def similar(pairs: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
     return cut_lineage(both.where(close("a", "b")).select("u", "v"))
 
 
+def print_links(reps: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
+    """(u, v) links of similar texts whose SimHash fingerprints lie within a few bits, found by the vantage-point trees.
+
+    Texts of one fingerprint are compared with the first of them, fingerprints along the spanning forest of their links.
+    """
+    first = reps.groupBy("fp").agg(F.min(F.struct("key", "tie", "n")).alias("f")).select("fp", F.col("f.key").alias("fk"), F.col("f.tie").alias("ft"), F.col("f.n").alias("fn"))
+    first = cut_lineage(first)
+    same = reps.join(first, "fp").where("key <> fk").select(F.col("key").alias("u"), F.col("fk").alias("v"), F.col("tie").alias("tu"), F.col("ft").alias("tv"), F.col("n").alias("a"), F.col("fn").alias("b"))
+    near = near_pairs(first.select("fp"), RADIUS).toDF("fu", "fv")
+    near = near.join(first.toDF("fu", "u", "tu", "a"), "fu").join(first.toDF("fv", "v", "tv", "b"), "fv").select("u", "v", "tu", "tv", "a", "b")
+    return similar(same.union(near).where(_alike(F.col("a"), F.col("b"))).drop("a", "b"), texts, repeated)
+
+
 def near_links(reps: DataFrame, texts: DataFrame, repeated: bool = True) -> DataFrame:
-    """(u, v) links that connect all keys of similar texts; ``reps`` (key, n, prefix, tie) has one row per distinct text.
+    """(u, v) links that connect all keys of similar texts; ``reps`` (key, n, signs, fp, tie) has one row per distinct text.
 
-    Two similar texts share a shingle of their prefixes. In a first round every text of a shared shingle is compared with
-    a leader of it only, so that a large group of near copies is linked without its pairs; in the second all pairs of
-    the shingle that are still in different groups are compared, if they share enough of their prefixes. No pair that
-    can be similar is left out.
+    Two similar texts share a signature. After the links that fingerprints show, in each round every text that shares a
+    signature with another group is compared with one leader: of the leaders of its signatures, the one it shares most
+    with. A signature's leader is its text with most companions, which in a group of near copies is the one closest to
+    all of them; so such a group is linked without its pairs. At last all pairs of a signature that are still in
+    different groups are compared, if they can be similar. No pair that can be similar is left out.
     """
-    tokens = reps.select("key", "n", "tie", F.explode("prefix").alias("token"))
-    rows = cut_lineage(tokens.select("token", "key", "n").repartition("token").sortWithinPartitions("token").mapInPandas(_shared, "token long, key long, n int"))
+    links = print_links(reps, texts, repeated)
+    signs = reps.select("key", "n", F.posexplode("signs").alias("i", "token"))
+    rows = cut_lineage(signs.select("token", "key", "n", "i").repartition("token").sortWithinPartitions("token").mapInPandas(_shared, "token long, key long, n int, i int"))
+    size = rows.groupBy("token").agg(F.count("*").alias("c"))
+    weight = rows.join(size, "token").groupBy("key").agg(F.sum(F.col("c") - 1).alias("w"))
+    rows = cut_lineage(rows.join(weight, "key"))
     ties = reps.select("key", "tie")
     named = lambda p: p.join(ties.toDF("u", "tu"), "u").join(ties.toDF("v", "tv"), "v")
-    first = F.struct(F.xxhash64("key", F.pmod("token", F.lit(LEADERS))).alias("h"), "key", "n")
-    lead = rows.groupBy("token").agg(F.min(first).alias("l")).select("token", F.col("l.key").alias("lk"), F.col("l.n").alias("ln"))
-    stars = rows.join(lead, "token").where((F.col("key") != F.col("lk")) & _alike(F.col("n"), F.col("ln")))
-    stars = stars.groupBy(F.least("key", "lk").alias("u"), F.greatest("key", "lk").alias("v")).agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("ln").alias("m"))
-    # a guess at all they share, from the shingles that they share with a leader; the second round looks at the others
-    stars = cut_lineage(stars.where(_can_reach(F.col("c") * 2 * LEADERS, F.col("n"), F.col("m"))).select("u", "v"))
-    links = similar(named(stars), texts, repeated)
-    placed = rows.join(components(links).toDF("key", "root"), "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("g"))
-    split = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    open_ = cut_lineage(placed.join(split, "token", "left_semi"))
-    a, b = open_.toDF("token", "ak", "an", "ag"), open_.toDF("token", "bk", "bn", "bg")
-    rest = a.join(b, "token").where((F.col("ag") < F.col("bg")) & _alike(F.col("an"), F.col("bn")))
-    rest = rest.groupBy(F.least("ak", "bk").alias("u"), F.greatest("ak", "bk").alias("v")).agg(F.count("*").alias("c"), F.first("an").alias("n"), F.first("bn").alias("m"))
-    rest = rest.where(_can_reach(F.col("c"), F.col("n"), F.col("m"))).select("u", "v").join(stars, ["u", "v"], "left_anti")
-    return links.union(similar(named(rest), texts, repeated))
+    tested = None
+    for k in range(ROUNDS + 1):
+        placed = rows.join(components(links).toDF("key", "g"), "key", "left").withColumn("g", F.coalesce("g", "key"))
+        split = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
+        rows = cut_lineage(placed.join(split, "token", "left_semi"))
+        new = lambda p: p if tested is None else p.join(tested, ["u", "v"], "left_anti")  # noqa: E731, B023
+        pair = [F.least("key", "lk").alias("u"), F.greatest("key", "lk").alias("v")]
+        if k == ROUNDS:
+            other = rows.select("token", F.col("key").alias("lk"), F.col("n").alias("ln"), F.col("i").alias("li"), F.col("g").alias("lg"))
+            rest = rows.join(other, "token").where((F.col("g") < F.col("lg")) & _alike(F.col("n"), F.col("ln")) & _can_reach(F.col("i"), F.col("n"), F.col("li"), F.col("ln")))
+            return links.union(similar(named(new(rest.select(*pair).distinct())), texts, repeated))
+        lead = rows.groupBy("token").agg(F.max(F.struct("w", "key", "n", "i", "g")).alias("l")).select("token", F.col("l.key").alias("lk"), F.col("l.n").alias("ln"), F.col("l.i").alias("li"), F.col("l.g").alias("lg"))
+        stars = rows.join(lead, "token").where((F.col("g") != F.col("lg")) & _alike(F.col("n"), F.col("ln")) & _can_reach(F.col("i"), F.col("n"), F.col("li"), F.col("ln")))
+        stars = new(stars.groupBy("key", "lk").agg(F.count("*").alias("c")).select("key", "c", "lk", *pair))
+        stars = cut_lineage(stars.groupBy("key").agg(F.max(F.struct("c", "u", "v")).alias("s")).select("s.u", "s.v").distinct())
+        found = similar(named(stars), texts, repeated)
+        tested = stars if tested is None else cut_lineage(tested.union(stars))
+        links = cut_lineage(links.union(found))
+        rows = rows.drop("g")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id (null ids last).
 
     Texts link if the Jaccard similarity of their distinct 5-word shingles is 0.8 or more; groups are what can be
-    reached. Texts of one lower-cased word sequence are one text; null texts and those without words are copies of each other.
+    reached. Texts of one lower-cased word sequence are one text; null texts and those without words are copies of each
+    other. Of repeated rows one stays, ties of ids are settled by a hash of the row, columns come out unchanged
+    whatever their names, texts of any length are read whole, an empty table has an empty result.
     """
     common, counts = common_shingles(docs, text_col)
 
-    @F.pandas_udf("key long, n int, prefix array<long>")
+    @F.pandas_udf("key long, n int, signs array<long>, fp long")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        out = [(k, len(h), prefix_of(h, common, counts).view(np.int64)) for k, h in map(shingles_of, texts)]
-        return pd.DataFrame(out, columns=["key", "n", "prefix"]).astype({"key": "int64", "n": "int32"})
+        out = [(k, len(h), signatures_of(h, common, counts).view(np.int64), fingerprint_of(h)) for k, h in map(shingles_of, texts)]
+        return pd.DataFrame(out, columns=["key", "n", "signs", "fp"]).astype({"key": "int64", "n": "int32", "fp": "int64"})
 
     hashed = row_hash(docs)
     s = cut_lineage(docs.select(F.col(id_col).alias("id"), hashed.alias("tie"), marks(F.col(text_col).cast("binary")).alias("s")))
     rows = s.select("id", "tie", F.col("s.key").alias("key"))
-    reps = s.where("s.key <> 0").groupBy(F.col("s.key").alias("key")).agg(F.min("tie").alias("tie"), F.any_value("s.n").alias("n"), F.any_value("s.prefix").alias("prefix"))
+    some = lambda c: F.any_value(f"s.{c}").alias(c)
+    reps = s.where("s.key <> 0").groupBy(F.col("s.key").alias("key")).agg(F.min("tie").alias("tie"), some("n"), some("signs"), some("fp"))
     repeated = not rows.groupBy("tie").count().where("count > 1").isEmpty()
     roots = components(near_links(reps, docs.select(hashed.alias("tie"), F.col(text_col).cast("binary").alias("text")), repeated))
     groups = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "tie", F.coalesce("root", "key").alias("g"))

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.llm.numbering import numbered
 from tickloom.session import cut_lineage
 
 SLOTS = 4096
+#: Equal rows that share a slot; of more, each has its own.
+ALIKE = 8
 OVERHEAD = 16
 
 
@@ -19,9 +22,31 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
-def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """The record's slot, for ever: a hash of its id and text, so that no id, source or copy group fills one slot."""
-    return F.pmod(F.xxhash64(F.lit(29), doc_id, text), F.lit(slots))
+def slot_of(doc_id: Column, text: Column, slots: int = SLOTS, copy: Column | None = None) -> Column:
+    """The record's slot, for ever: a hash of its id and text, so that no id, source or copy group fills one slot.
+
+    ``copy`` numbers rows that repeat both; the first of them has the slot of a single one.
+    """
+    own = F.xxhash64(F.lit(29), doc_id, text)
+    return F.pmod(own if copy is None else F.when(copy == 0, own).otherwise(F.xxhash64(F.lit(31), own, copy)), F.lit(slots))
+
+
+def numbered_copies(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """``docs`` with ``__copy``: 0, 1, ... among the rows that repeat both id and text more than ``ALIKE`` times, else 0.
+
+    Only such rows are numbered, by ranges and counts per part, so that a third of all rows may be one row; without any,
+    this costs a count of 16-byte keys.
+    """
+    keyed = docs.withColumns({"__id": F.xxhash64(F.col(id_col)), "__text": F.xxhash64(F.lit(5), F.col(text_col))})
+    many = cut_lineage(keyed.groupBy("__id", "__text").count().where(F.col("count") > ALIKE).select("__id", "__text"))
+    if many.isEmpty():
+        return docs.withColumn("__copy", F.lit(0).cast("long"))
+    again = numbered(keyed.join(many, ["__id", "__text"], "left_semi"), ["__id", "__text"], "__n", path)
+    first = again.groupBy("__id", "__text").agg(F.min("__n").alias("__first"))
+    again = again.join(first, ["__id", "__text"]).withColumn("__copy", F.col("__n") - F.col("__first"))
+    once = keyed.join(many, ["__id", "__text"], "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    columns = [*(f"`{c}`" for c in docs.columns), "__copy"]
+    return once.select(columns).union(again.select(columns))
 
 
 def loads(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -107,12 +132,13 @@ def shard(docs: DataFrame, path: str, shards: int = 40, slots: int = SLOTS, vers
     """``docs`` with ``size``, ``vslot``, ``shard`` and ``slot``, the place within the shard (0, 1, ...).
 
     Records are hashed into ``slots`` fixed virtual slots; the bytes of each slot decide which shard holds it, by a map
-    stored under ``path`` as ``version`` (edited from ``old`` where given). Null ids and texts hash like values,
-    repeated rows share a virtual slot and get places of their own, an empty table has an empty result. Columns of
-    ``docs`` with the added names are replaced.
+    stored under ``path`` as ``version`` (edited from ``old`` where given). Null ids and texts hash like values, rows
+    that repeat both id and text are spread over the slots by their number among themselves, an empty table has an
+    empty result. Columns of ``docs`` with the added names are replaced.
     """
     added = ("size", "vslot", "shard", "slot")
-    d = docs.drop(*added).withColumn("size", size_of(F.col(text_col))).withColumn("vslot", slot_of(F.col(id_col), F.col(text_col), slots))
+    d = numbered_copies(docs.drop(*added), id_col, text_col, f"{path}/copies")
+    d = d.withColumn("size", size_of(F.col(text_col))).withColumn("vslot", slot_of(F.col(id_col), F.col(text_col), slots, F.col("__copy"))).drop("__copy")
     m = SlotMap(docs.sparkSession, path).write(version, shards, loads(d.select("vslot", "size"), slots), old).select("vslot", "shard", "first_row")
     at = F.row_number().over(W.partitionBy("vslot").orderBy(id_col, F.xxhash64(text_col)))
     return d.join(F.broadcast(m), "vslot").withColumn("slot", F.col("first_row") + at - 1).drop("first_row")
