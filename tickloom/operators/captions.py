@@ -6,48 +6,90 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.timebase import col, snap_nearest
-from tickloom.operators.ordered import following, islands, max_before, prev, scan, sum_before
+from tickloom.operators.ordered import INDEX_CHUNK, following, scan, sum_before
 from tickloom.session import cut_lineage
 
 MS = 254_016_000
 
 
-def normalize_cues(cues: DataFrame, key: str = "track_id", ft=None) -> tuple[DataFrame, DataFrame]:
+#: Cues that one task walks at a time.
+CUES = 8192
+
+
+def _walk_cues(start: list[int], end: list[int], at: tuple[int, int] | None) -> tuple[list[int], list[bool], tuple[int, int] | None]:
+    """The left-to-right rule over sorted cues after a last kept cue ``at`` (start, end): starts, which are kept, the last kept one.
+
+    A cue that starts behind the last one's start stays, and will cut that one off; one that does not begins where the
+    last one ends, if it lasts longer, else it is dropped.
+    """
+    start, kept, last = list(start), [], at
+    for i, (a, b) in enumerate(zip(start, end, strict=True)):
+        if last is None or a > last[0]:
+            last = (a, b)
+        elif b > last[1]:
+            start[i] = last[1]
+            last = (last[1], b)
+        else:
+            kept.append(False)
+            continue
+        kept.append(True)
+    return start, kept, last
+
+
+def normalize_cues(cues: DataFrame, key: str = "track_id", ft=None, chunk: int = CUES) -> tuple[DataFrame, DataFrame]:
     """Cues sorted and without overlaps; second result: the cues dropped on the way.
 
-    Only runs of overlapping cues with two equal starts need the left-to-right rule; all others
-    end where the next one starts.
+    The rule needs the last kept cue only, and forgets it at the first cue that starts behind it. So cues are cut into
+    chunks by their number in the track; every chunk is walked from a guess of what came before, and again only where
+    the chunk before it turns out to end otherwise. Usually the second round finds nothing left to do; a run of
+    overlaps over many chunks takes a round for each of them that it decides.
     """
     if ft is not None:
         cues = cues.withColumns({"start": snap_nearest("start", ft), "end": F.greatest(snap_nearest("end", ft), snap_nearest("start", ft) + col(ft))})
-    cues = cues.filter("end > start")
+    cols = cues.columns
     order = ["start", "end", "cue_id"]
-    s = scan(cues, [key], order, _cov=max_before("end"), _ps=prev("start"), _nx=following("start"))
-    s = islands(s, [key], order, F.col("_cov").isNull() | (F.col("start") >= F.col("_cov")))
-    s = cut_lineage(s)
-    twins = s.filter(F.col("_ps") == F.col("start")).select(key, "island").distinct()
-    plain = s.join(twins, [key, "island"], "left_anti").withColumn("end", F.least("end", F.coalesce("_nx", "end")))
-    cols = [c for c in cues.columns]
-    schema = s.select(*cols, F.lit(True).alias("kept")).schema
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        start, end, kept = pdf["start"].tolist(), pdf["end"].tolist(), []
-        last = None
-        for i in range(len(pdf)):
-            ok = True
-            if last is not None and start[i] < end[last]:
-                if start[i] > start[last]:
-                    end[last] = start[i]
-                else:
-                    start[i] = end[last]
-                    ok = end[i] > start[i]
-            kept.append(ok)
-            last = i if ok else last
-        return pdf.assign(start=start, end=end, kept=kept)[[*cols, "kept"]]
-
-    ruled = s.join(twins, [key, "island"], "left_semi").groupBy(key, "island").applyInPandas(rule, schema)
-    good = plain.select(cols).unionByName(ruled.filter("kept").select(cols))
+    s = scan(cues.filter("end > start"), [key], order, _i=sum_before(F.lit(1).cast("long")))
+    s = cut_lineage(s.withColumn("_k", F.call_function("div", "_i", F.lit(chunk))))
+    kind = s.schema[key].dataType.simpleString()
+    state = f"{key} {kind}, _k long, s long, e long, xs long, xe long"
+    none = F.lit(None).cast("long")
+
+    def chunks_from(entries: DataFrame) -> DataFrame:
+        """Exit of the chunks that ``entries`` names, from the entry given there."""
+
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_i")
+            s0, e0 = pdf["s"].iloc[0], pdf["e"].iloc[0]
+            at = None if pd.isna(s0) else (int(s0), int(e0))
+            _, _, last = _walk_cues(pdf["start"].tolist(), pdf["end"].tolist(), at)
+            head = {key: [pdf[key].iloc[0]], "_k": [pdf["_k"].iloc[0]]}
+            now = at or (None, None)
+            return pd.DataFrame({**head, **{n: pd.array([v], dtype="Int64") for n, v in zip(("s", "e", "xs", "xe"), (*now, *last), strict=True)}})
+
+        j = s.select(key, "_k", "_i", "start", "end").join(entries, [key, "_k"])
+        return cut_lineage(j.repartition(key, "_k").groupBy(key, "_k").applyInPandas(walk, state))
+
+    done = chunks_from(s.select(key, "_k").distinct().select(key, "_k", none.alias("s"), none.alias("e")))
+    while True:
+        # what the chunk before leaves; the first chunk of a track has nothing before it
+        before = done.select(key, (F.col("_k") + 1).alias("_k"), F.col("xs").alias("s1"), F.col("xe").alias("e1"))
+        moved = cut_lineage(done.join(before, [key, "_k"]).filter(~(F.col("s").eqNullSafe(F.col("s1")) & F.col("e").eqNullSafe(F.col("e1")))).select(key, "_k", F.col("s1").alias("s"), F.col("e1").alias("e")))
+        if moved.isEmpty():
+            break
+        done = cut_lineage(done.join(moved, [key, "_k"], "left_anti").unionByName(chunks_from(moved)))
+    schema = s.select(*cols, "_i", F.lit(True).alias("kept")).schema
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        s0, e0 = pdf["s"].iloc[0], pdf["e"].iloc[0]
+        start, kept, _ = _walk_cues(pdf["start"].tolist(), pdf["end"].tolist(), None if pd.isna(s0) else (int(s0), int(e0)))
+        return pdf.assign(start=start, kept=kept)[[*cols, "_i", "kept"]]
+
+    ruled = s.join(done.select(key, "_k", "s", "e"), [key, "_k"]).repartition(key, "_k").groupBy(key, "_k").applyInPandas(apply, schema)
+    ruled = cut_lineage(ruled)
+    # a kept cue is cut off by the next one, in whichever chunk that is
+    good = scan(ruled.filter("kept"), [key], ["_i"], INDEX_CHUNK, _cut=following("start"))
+    good = good.withColumn("end", F.least("end", F.coalesce("_cut", "end"))).select(cols)
     return good, ruled.filter(~F.col("kept")).select(key, "cue_id")
 
 

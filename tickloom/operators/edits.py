@@ -376,12 +376,39 @@ def join_through_edits(clips: DataFrame, transitions: DataFrame | None = None) -
     return folded.drop("island"), tr
 
 
-def _segments(marks: DataFrame, layers: DataFrame) -> DataFrame:
-    """Cut times per sequence paired with the next one, with the layer of each track at the start."""
-    cuts = scan(marks.distinct(), SEQ, ["t"], t1=following("t")).filter("t1 is not null")
-    lanes = layers.select(*SEQ, "track_id").distinct()
-    probe = cuts.join(lanes, SEQ)
-    return item_at(probe, layers, TRACK, name="layer", outer=False)
+#: Moduli of the two hashes that a layer adds to the set of active layers.
+PRIMES = (2_147_483_647, 2_147_483_629)
+
+
+def _sweep(clips: DataFrame, what: list[str]) -> DataFrame:
+    """Segments between neighbouring boundaries of each sequence, from the boundary events alone.
+
+    ``clips`` has a row per clip with its boundaries ``a`` and ``b`` on the grid and ``live`` if it shows. A live clip
+    adds its share at ``a`` and takes it back at ``b``: one layer, one native layer, and for each prime a number k drawn
+    from its ``what``, k times its source position at time 0 and k times its speed. So running sums give the number of
+    layers and, at any time t, a hash of the set of (what, source position at t), without listing the set.
+    """
+    live = F.col("live") & (F.col("a") < F.col("b"))
+    fixed = F.round(F.abs("speed") * 65536, 0).cast("decimal(38,0)")
+    shares = {"n": F.lit(1).cast("long"), "plain": F.when((F.col("speed") == 1.0) & ~F.col("reverse"), 1).otherwise(0).cast("long")}
+    for i, p in enumerate(PRIMES):
+        k = F.pmod(F.xxhash64(F.lit(i), *what), F.lit(p))
+        shares |= {f"k{i}": k, f"c{i}": (k.cast("decimal(20,0)") * (F.col("source_in") * F.lit(65536).cast("decimal(6,0)") - F.col("start") * fixed)).cast("decimal(38,0)"), f"s{i}": (k * fixed).cast("decimal(38,0)")}
+    c = clips.select(*SEQ, "a", "b", *[F.when(live, v).otherwise(F.lit(0)).alias(n) for n, v in shares.items()])
+    edge = lambda t, sign: F.struct(F.col(t).alias("t"), *[(sign * F.col(n)).alias(n) for n in shares])
+    events = c.select(*SEQ, F.explode(F.array(edge("a", 1), edge("b", -1))).alias("e")).groupBy(*SEQ, "e.t").agg(*[F.sum(f"e.{n}").alias(n) for n in shares])
+    s = scan(events, SEQ, ["t"], t1=following("t"), i=sum_upto(F.lit(1).cast("long")), **{f"_{n}": sum_upto(n) for n in shares})
+    at = [F.col(f"_k{i}") for i in range(2)] + [F.col(f"_c{i}") + F.col("t").cast("decimal(20,0)") * F.col(f"_s{i}") for i in range(2)]
+    content = F.xxhash64(F.col("t1") - F.col("t"), "_n", *[x.cast("string") for x in at])
+    return s.select(*SEQ, "i", "t", "t1", F.col("_n").cast("int").alias("layers"), F.col("_plain").alias("plain"), content.alias("hash"))
+
+
+def _listed(clips: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Live clips of every segment ``i``, bottom-up: boundaries are cuts, so a clip's segments are a range of numbers."""
+    at = lambda n: cuts.select(*SEQ, F.col("t").alias(n), F.col("i").alias(f"i{n}"))
+    c = clips.filter(F.col("live") & (F.col("a") < F.col("b"))).join(at("a"), [*SEQ, "a"]).join(at("b"), [*SEQ, "b"])
+    each = c.select(*SEQ, F.explode(F.sequence("ia", F.col("ib") - 1)).alias("i"), F.struct("pos", "clip_id").alias("l"))
+    return each.groupBy(*SEQ, "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["clip_id"].cast("string")), ",").alias("clips"))
 
 
 def render_segments(clips: DataFrame, tracks: DataFrame, budget_ms: float = 20.0, cost_ms: float = 8.0) -> DataFrame:
@@ -391,26 +418,13 @@ def render_segments(clips: DataFrame, tracks: DataFrame, budget_ms: float = 20.0
     the same hash.
     """
     t = tracks.filter("kind = 'video' and enabled").select("track_id", "pos")
-    c = with_end(clips.join(t, "track_id"))
     up = lambda x: -frame_at(-F.col(x), "ft") * F.col("ft")
-    marks = c.select(*SEQ, F.explode(F.array(up("start"), up("end"))).alias("t"))
-    live = c.filter("enabled").select(*TRACK, "pos", "clip_id", "item_id", "speed", "reverse", "source_in", "frame_hold", F.col("start"), "end", "ft")
-    s = _segments(marks, live)
-    shown = F.struct(
-        F.col("layer.pos").alias("pos"), F.col("layer.clip_id").alias("clip_id"), F.col("layer.item_id").alias("item_id"), F.col("layer.speed").alias("speed"),
-        F.col("layer.reverse").alias("reverse"), (F.col("layer.source_in") + F.round((F.col("t") - F.col("layer.start")) * F.abs(F.col("layer.speed")), 0).cast("long")).alias("at"),
-        F.col("layer.frame_hold").alias("hold"), F.col("layer.ft").alias("ft"),
-    )
-    g = s.groupBy(*SEQ, "t", "t1").agg(F.array_sort(F.collect_list(shown)).alias("l"))
-    ft = F.col("l")[0]["ft"]
-    content = F.xxhash64((F.col("t1") - F.col("t")), F.transform("l", lambda x: F.struct(x["pos"], x["item_id"], x["speed"], x["reverse"], x["at"], x["hold"])))
-    n = F.size("l")
-    native = (n == 1) & (F.col("l")[0]["speed"] == 1.0) & ~F.col("l")[0]["reverse"]
-    need = F.when(n * cost_ms > budget_ms, "render").when(native, "none").otherwise("realtime")
-    return g.select(
-        *SEQ, idiv("t", ft).alias("first_frame"), idiv(F.col("t1") - F.col("t"), ft).alias("frames"), n.alias("layers"),
-        F.array_join(F.transform("l", lambda x: x["clip_id"].cast("string")), ",").alias("clips"), need.alias("need"), content.alias("hash"),
-    )
+    c = with_end(clips.join(t, "track_id")).withColumns({"a": up("start"), "b": up("end"), "live": F.col("enabled")})
+    rate = c.groupBy(*SEQ).agg(F.max("ft").alias("ft"))
+    cuts = cut_lineage(_sweep(c, ["pos", "item_id", "speed", "reverse", "frame_hold"]))
+    g = cuts.filter("t1 is not null and layers > 0").join(_listed(c, cuts), [*SEQ, "i"]).join(rate, SEQ)
+    need = F.when(F.col("layers") * cost_ms > budget_ms, "render").when((F.col("layers") == 1) & (F.col("plain") == 1), "none").otherwise("realtime")
+    return g.select(*SEQ, idiv("t", "ft").alias("first_frame"), idiv(F.col("t1") - F.col("t"), F.col("ft")).alias("frames"), "layers", "clips", need.alias("need"), "hash")
 
 
 def audio_segments(clips: DataFrame, tracks: DataFrame, ticks_per_sample: int) -> DataFrame:
@@ -418,17 +432,11 @@ def audio_segments(clips: DataFrame, tracks: DataFrame, ticks_per_sample: int) -
     a = tracks.filter("kind = 'audio'")
     solo = a.groupBy(*SEQ).agg(F.max("solo").alias("_any"))
     heard = a.join(solo, SEQ).withColumn("_on", ~F.col("muted") & (~F.col("_any") | F.col("solo"))).select("track_id", "pos", "_on")
-    c = with_end(clips.join(heard, "track_id"))
     k = F.lit(ticks_per_sample)
     up = lambda x: -frame_at(-F.col(x), k) * k
-    marks = c.select(*SEQ, F.explode(F.array(up("start"), up("end"))).alias("t"))
-    s = _segments(marks, c.filter("enabled and _on").select(*TRACK, "pos", "clip_id", "item_id", "speed", "reverse", "source_in", "start", "end"))
-    shown = F.struct(
-        F.col("layer.pos").alias("pos"), F.col("layer.item_id").alias("item_id"), F.col("layer.speed").alias("speed"), F.col("layer.reverse").alias("reverse"),
-        (F.col("layer.source_in") + F.round((F.col("t") - F.col("layer.start")) * F.abs(F.col("layer.speed")), 0).cast("long")).alias("at"),
-    )
-    g = s.groupBy(*SEQ, "t", "t1").agg(F.array_sort(F.collect_list(shown)).alias("l"))
-    return g.select(*SEQ, idiv("t", k).alias("first_sample"), idiv(F.col("t1") - F.col("t"), k).alias("samples"), F.size("l").alias("layers"), F.xxhash64((F.col("t1") - F.col("t")), "l").alias("hash"))
+    c = with_end(clips.join(heard, "track_id")).withColumns({"a": up("start"), "b": up("end"), "live": F.col("enabled") & F.col("_on")})
+    g = _sweep(c, ["pos", "item_id", "speed", "reverse"]).filter("t1 is not null and layers > 0")
+    return g.select(*SEQ, idiv("t", k).alias("first_sample"), idiv(F.col("t1") - F.col("t"), k).alias("samples"), "layers", "hash")
 
 
 def multicam_record(clips: DataFrame, cuts: DataFrame, ends: DataFrame) -> DataFrame:

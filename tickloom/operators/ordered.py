@@ -130,45 +130,50 @@ def islands(df: DataFrame, keys, order, starts: Column, name: str = "island", ch
     return scan(df, keys, order, chunk, **{name: sum_upto(F.when(starts, 1).otherwise(0).cast("long"))})
 
 
-def orbit(df: DataFrame, keys: Sequence[str], pos: str = "pos", nxt: str = "nxt", chunk: int = 8192, levels: int = 1) -> DataFrame:
+def orbit(df: DataFrame, keys: Sequence[str], pos: str = "pos", nxt: str = "nxt", chunk: int = 8192) -> DataFrame:
     """Positions visited by the walk ``pos -> nxt`` from the least position of each key.
 
     Left-to-right greedy rules become such a walk once every row knows where the next choice would
-    be if the walk came by. Chunks of positions are folded to (entry, exit) pairs that leave the
-    chunk; the short walk over those pairs gives one entry per chunk, from which each chunk is
-    walked on its own. ``nxt`` must be a larger position that exists, or null at the end.
+    be if the walk came by. Chunks of positions are folded to the pairs (gate, gate of a later chunk), where gates are
+    the positions entered from another chunk; the walk over the gates gives one entry per chunk, from which each chunk
+    is walked on its own. Gates of one key that fit a chunk are walked in one task, more of them by pointer doubling,
+    so no task ever sees more than a chunk. ``nxt`` must be a larger position that exists, or null at the end.
     """
     keys = list(keys)
     base = cut_lineage(df.select(*keys, F.col(pos).cast("long").alias("_p"), F.col(nxt).cast("long").alias("_n")))
+    chunked = base.withColumn("_c", fdiv("_p", F.lit(chunk)))
     firsts = base.groupBy(*keys).agg(F.min("_p").alias("_p"))
-    hits = _walk(base, firsts, keys, chunk, levels)
-    return cut_lineage(hits.select(*keys, F.col("_p").alias(pos)))
-
-
-def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, levels: int) -> DataFrame:
-    cut = lambda c: fdiv(c, F.lit(chunk))
-    key_types = [base.schema[k] for k in keys]
-    schema = T.StructType([*key_types, T.StructField("_p", T.LongType()), T.StructField("_n", T.LongType())])
-    reached = T.StructType([*key_types, T.StructField("_p", T.LongType())])
-    chunked = base.withColumn("_c", cut("_p") if levels > 0 else F.lit(0).cast("long"))
-    if levels > 0:
-        crossed = chunked.filter(cut("_n") > F.col("_c")).select(*keys, F.col("_n").alias("_p")).union(entries.select(*keys, "_p")).distinct()
-        gates = crossed.withColumn("_g", F.lit(True))
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_p")
-            p, n = pdf["_p"].to_numpy(), pdf["_n"].to_numpy(dtype="float64", na_value=np.nan)
-            out, where = np.full(len(p), np.nan), {v: i for i, v in enumerate(p.tolist())}
-            for i in range(len(p) - 1, -1, -1):
-                if not np.isnan(n[i]):
-                    j = where.get(int(n[i]))
-                    out[i] = n[i] if j is None else out[j]
-            pdf = pdf.assign(_n=pd.array([None if np.isnan(v) else int(v) for v in out], dtype="Int64"))
-            return pdf.loc[pdf["_g"].notna(), [*keys, "_p", "_n"]]
-
-        marked = chunked.join(gates, [*keys, "_p"], "left")
-        folded = marked.repartition(*keys, "_c").groupBy(*keys, "_c").applyInPandas(fold, schema)
-        entries = _walk(folded, entries, keys, chunk * 1024, levels - 1)
+    gates = _fold(chunked, firsts, keys, chunk)
+    most = gates.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    entries = _visit(gates.withColumn("_c", F.lit(0).cast("long")), firsts, keys) if most <= chunk else _doubled(gates, firsts, keys)
+    return _visit(chunked, entries, keys).select(*keys, F.col("_p").alias(pos))
+
+
+def _fold(chunked: DataFrame, firsts: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """(_p, _n) of every gate: where a walk that enters a chunk at ``_p`` enters a later chunk."""
+    crossed = chunked.filter(fdiv("_n", F.lit(chunk)) > F.col("_c")).select(*keys, F.col("_n").alias("_p")).union(firsts.select(*keys, "_p")).distinct()
+    marked = chunked.join(crossed.withColumn("_g", F.lit(True)), [*keys, "_p"], "left")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_p")
+        p, end = pdf["_p"].to_numpy(), pdf["_n"].isna().to_numpy()
+        n = pdf["_n"].fillna(-1).to_numpy(np.int64)
+        # jumps inside the chunk, doubled until all leave it or end
+        at = np.searchsorted(p, n)
+        inside = ~end & (at < len(p)) & (p[np.minimum(at, len(p) - 1)] == n)
+        to = np.where(inside, at, np.arange(len(p)))
+        while (again := to[to]).tolist() != to.tolist():
+            to = again
+        pdf = pdf.assign(_n=pd.arrays.IntegerArray(n[to], end[to]))
+        return pdf.loc[pdf["_g"].notna(), [*keys, "_p", "_n"]]
+
+    schema = T.StructType([*[chunked.schema[k] for k in keys], T.StructField("_p", T.LongType()), T.StructField("_n", T.LongType())])
+    return cut_lineage(marked.repartition(*keys, "_c").groupBy(*keys, "_c").applyInPandas(fold, schema))
+
+
+def _visit(chunked: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Positions visited inside each (key, chunk) from its entries."""
+    reached = T.StructType([*[chunked.schema[k] for k in keys], T.StructField("_p", T.LongType())])
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         nxt = dict(zip(pdf["_p"].tolist(), pdf["_n"].tolist()))
@@ -186,3 +191,13 @@ def _walk(base: DataFrame, entries: DataFrame, keys: list[str], chunk: int, leve
 
     joined = chunked.join(entries.withColumn("_e", F.lit(True)), [*keys, "_p"], "left")
     return joined.repartition(*keys, "_c").groupBy(*keys, "_c").applyInPandas(step, reached)
+
+
+def _doubled(gates: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Gates reached from the first ones: each round reaches twice as far, so a walk of n gates takes log2(n) rounds of two joins."""
+    reach, jump = firsts.select(*keys, "_p"), gates.filter("_n is not null")
+    while True:
+        reach = cut_lineage(reach.union(reach.join(jump, [*keys, "_p"]).select(*keys, F.col("_n").alias("_p"))).distinct())
+        jump = cut_lineage(jump.join(jump.select(*keys, F.col("_p").alias("_n"), F.col("_n").alias("_m")), [*keys, "_n"]).select(*keys, "_p", F.col("_m").alias("_n")))
+        if jump.isEmpty():
+            return reach

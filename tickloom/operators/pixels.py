@@ -7,6 +7,7 @@ from math import atan2, degrees, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tickloom.functions import color as cl
@@ -322,12 +323,61 @@ def normalise_footage(pixels: DataFrame, media_color: DataFrame, dst_peak: float
     return p.select("item_id", "frame_id", "x", "y", *[v.alias(k) for k, v in out.items()])
 
 
+#: Most points of a lattice that is sent to all tasks as one array (24 bytes each).
+LATTICE_SENT = 129**3
+
+
+def lattice_array(lattice: DataFrame, size: int) -> np.ndarray:
+    """``lattice(ri, gi, bi, lr, lg, lb)`` as one array indexed by (ri, gi, bi); missing points are zero."""
+    got = np.zeros((size**3, 3))
+    rows = lattice.where(F.greatest("ri", "gi", "bi") < size).select(((F.col("ri") * size + F.col("gi")) * size + F.col("bi")).cast("int").alias("k"), "lr", "lg", "lb").toPandas()
+    got[rows["k"].to_numpy()] = rows[["lr", "lg", "lb"]].to_numpy()
+    return got.reshape(size, size, size, 3)
+
+
+def tetrahedral(rgb: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Colours (n, 3) through a lattice: from the darkest to the brightest corner of a cell along the descending fractions."""
+    size = len(table)
+    pos = np.clip(rgb, 0.0, 1.0) * (size - 1)
+    cell = np.minimum(np.floor(pos), size - 2).astype(np.int64)
+    part = pos - cell
+    # r before g before b on ties
+    order = np.argsort(-part, axis=1, kind="stable")
+    f = np.take_along_axis(part, order, axis=1)
+    weights = [1 - f[:, 0], f[:, 0] - f[:, 1], f[:, 1] - f[:, 2], f[:, 2]]
+    out, corner, rows = np.zeros_like(pos), cell.copy(), np.arange(len(pos))
+    for n in range(4):
+        if n:
+            corner[rows, order[:, n - 1]] += 1
+        out += weights[n][:, None] * table[corner[:, 0], corner[:, 1], corner[:, 2]]
+    return out
+
+
 def apply_lut3d(pixels: DataFrame, lattice: DataFrame, size: int) -> DataFrame:
-    """Tetrahedral 3-D LUT; ``lattice(ri, gi, bi, lr, lg, lb)`` has ``size``³ rows (at most 256³).
+    """Tetrahedral 3-D LUT; ``lattice(ri, gi, bi, lr, lg, lb)`` has ``size``³ rows.
 
-    Distinct colours are looked up once. Each needs its cell's four corners: one equi join on the
-    lattice point, then the weighted sum per colour.
+    The lattice is one array in every task and is read by index, pixel by pixel where they lie: nothing is shuffled or
+    joined, whatever colours occur. Lattices above ``LATTICE_SENT`` points take ``apply_large_lut3d``. Pixels with a
+    null channel come out null.
     """
+    if size**3 > LATTICE_SENT:
+        return apply_large_lut3d(pixels, lattice, size)
+    table = pixels.sparkSession.sparkContext.broadcast(lattice_array(lattice, size))
+    schema = T.StructType([*[pixels.schema[c] for c in ("frame_id", "x", "y")], *[T.StructField(c, T.DoubleType()) for c in "rgb"], pixels.schema["a"]])
+
+    def look_up(batches):
+        for b in batches:
+            rgb = np.stack([b.column(f"c{c}").to_numpy(zero_copy_only=False).astype(float) for c in "rgb"], axis=1)
+            null = np.isnan(rgb).any(axis=1)
+            out = tetrahedral(np.where(null[:, None], 0.0, rgb), table.value)
+            done = [pa.array(out[:, i], mask=null) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *done, b.column(6)], ["frame_id", "x", "y", "r", "g", "b", "a"])
+
+    return pixels.select("frame_id", "x", "y", *[F.col(c).cast("double").alias(f"c{c}") for c in "rgb"], "a").mapInArrow(look_up, schema)
+
+
+def apply_large_lut3d(pixels: DataFrame, lattice: DataFrame, size: int) -> DataFrame:
+    """The same for lattices too large to send: distinct colours meet their cell's four corners by an equi join."""
     colours = pixels.select("r", "g", "b").distinct()
     pos = {c: cl.clamp(c) * (size - 1) for c in "rgb"}
     cell = {c: F.least(F.floor(v), F.lit(size - 2)).cast("int") for c, v in pos.items()}

@@ -310,19 +310,32 @@ def vtracks(spark, d):
     return tracks(spark, d).withColumn("kind", F.lit("video"))
 
 
+def classes(segments, first):
+    """Segments with the first segment of equal content in place of the hash itself."""
+    at = F.col("sequence_id") * 1_000_000_000 + F.col(first)
+    same = segments.groupBy("hash").agg(F.min(at).alias("same_as"))
+    return segments.join(same, "hash").drop("hash")
+
+
+#: What a layer shows, laid end to end bottom-up: equal texts, equal content.
+SHOWN = "string_agg(concat(pos, ':', item_id, ':', speed, ':', reverse, ':', source_in + CAST((t - start) * speed AS BIGINT)), ',' ORDER BY pos, item_id, speed, reverse, source_in + CAST((t - start) * speed AS BIGINT))"
+
+
 @query("render_segments", using("spans", f""", {TRK}, v AS (SELECT s.*, pos FROM spans s JOIN tk USING (track_id) WHERE tk.enabled), m AS (SELECT DISTINCT sequence_id, ft, t FROM (SELECT sequence_id, ft, start AS t FROM v UNION ALL SELECT sequence_id, ft, "end" FROM v)),
-n AS (SELECT *, lead(t) OVER (PARTITION BY sequence_id ORDER BY t) AS t1 FROM m), l AS (SELECT n.sequence_id, n.ft, n.t, n.t1, v.pos, v.clip_id, v.speed, v.reverse FROM n JOIN v ON v.sequence_id = n.sequence_id AND v.enabled AND v.start <= n.t AND n.t < v."end" WHERE t1 IS NOT NULL)
-SELECT sequence_id, t // ft AS first_frame, (t1 - t) // ft AS frames, CAST(count(*) AS INT) AS layers, string_agg(CAST(clip_id AS VARCHAR), ',' ORDER BY pos, clip_id) AS clips, CASE WHEN count(*) * 8 > 20 THEN 'render' WHEN count(*) = 1 AND min(speed) = 1 AND NOT bool_or(reverse) THEN 'none' ELSE 'realtime' END AS need FROM l GROUP BY sequence_id, ft, t, t1"""))
+n AS (SELECT *, lead(t) OVER (PARTITION BY sequence_id ORDER BY t) AS t1 FROM m), l AS (SELECT n.sequence_id, n.ft, n.t, n.t1, v.pos, v.clip_id, v.item_id, v.source_in, v.start, v.speed, v.reverse FROM n JOIN v ON v.sequence_id = n.sequence_id AND v.enabled AND v.start <= n.t AND n.t < v."end" WHERE t1 IS NOT NULL),
+g AS (SELECT sequence_id, t // ft AS first_frame, (t1 - t) // ft AS frames, CAST(count(*) AS INT) AS layers, string_agg(CAST(clip_id AS VARCHAR), ',' ORDER BY pos, clip_id) AS clips, CASE WHEN count(*) * 8 > 20 THEN 'render' WHEN count(*) = 1 AND min(speed) = 1 AND NOT bool_or(reverse) THEN 'none' ELSE 'realtime' END AS need, concat(t1 - t, '=', {SHOWN}) AS content FROM l GROUP BY sequence_id, ft, t, t1)
+SELECT * EXCLUDE (content), min(sequence_id * 1000000000 + first_frame) OVER (PARTITION BY content) AS same_as FROM g"""))
 def render_segments(spark, d):
-    return ed.render_segments(fx.clips(spark, d).drop("kind"), vtracks(spark, d)).drop("hash")
+    return classes(ed.render_segments(fx.clips(spark, d).drop("kind"), vtracks(spark, d)), "first_frame")
 
 
-@query("audio_segments", using("spans", f""", {TRK}, sl AS (SELECT sequence_id, bool_or(solo) AS a FROM tk WHERE kind = 'audio' GROUP BY 1), v AS (SELECT s.*, NOT muted AND (NOT a OR solo) AS live FROM spans s JOIN tk USING (track_id) JOIN sl ON sl.sequence_id = s.sequence_id WHERE tk.kind = 'audio'),
+@query("audio_segments", using("spans", f""", {TRK}, sl AS (SELECT sequence_id, bool_or(solo) AS a FROM tk WHERE kind = 'audio' GROUP BY 1), v AS (SELECT s.*, pos, NOT muted AND (NOT a OR solo) AS live FROM spans s JOIN tk USING (track_id) JOIN sl ON sl.sequence_id = s.sequence_id WHERE tk.kind = 'audio'),
 k AS (SELECT sequence_id, -((-start - ((-start % 5292000) + 5292000) % 5292000) // 5292000) AS a, -((-"end" - ((-"end" % 5292000) + 5292000) % 5292000) // 5292000) AS b FROM v), m AS (SELECT DISTINCT sequence_id, t FROM (SELECT sequence_id, a AS t FROM k UNION ALL SELECT sequence_id, b FROM k)),
-n AS (SELECT *, lead(t) OVER (PARTITION BY sequence_id ORDER BY t) AS t1 FROM m)
-SELECT n.sequence_id, n.t AS first_sample, t1 - n.t AS samples, CAST(count(*) AS INT) AS layers FROM n JOIN v ON v.sequence_id = n.sequence_id AND v.enabled AND live AND v.start <= n.t * 5292000 AND n.t * 5292000 < v."end" WHERE t1 IS NOT NULL GROUP BY 1, 2, 3"""))
+n AS (SELECT sequence_id, t AS s0, lead(t) OVER (PARTITION BY sequence_id ORDER BY t) AS s1, t * 5292000 AS t FROM m),
+g AS (SELECT n.sequence_id, n.s0 AS first_sample, s1 - s0 AS samples, CAST(count(*) AS INT) AS layers, concat(s1 - s0, '=', {SHOWN}) AS content FROM n JOIN v ON v.sequence_id = n.sequence_id AND v.enabled AND live AND v.start <= n.t AND n.t < v."end" WHERE s1 IS NOT NULL GROUP BY 1, 2, s0, s1)
+SELECT * EXCLUDE (content), min(sequence_id * 1000000000 + first_sample) OVER (PARTITION BY content) AS same_as FROM g"""))
 def audio_segments(spark, d):
-    return ed.audio_segments(fx.clips(spark, d).drop("kind"), tracks(spark, d), 5_292_000).drop("hash")
+    return classes(ed.audio_segments(fx.clips(spark, d).drop("kind"), tracks(spark, d), 5_292_000), "first_sample")
 
 
 def multicam(spark, d):

@@ -85,10 +85,22 @@ def beat_features(spark, d):
     return f.select("stream_id", "i", "start", F.round(F.col("chroma")[0], 6).alias("chroma0"), F.round(F.col("cepstra")[0], 6).alias("cepstrum0"))
 
 
-@query("mel_features")
+#: Mel energies by an explicit DFT of every windowed frame: ``me`` (stream_id, f, band, v).
+MEL = """ln AS (SELECT stream_id, max(n) + 1 AS l FROM samples GROUP BY 1), xs AS (SELECT stream_id, n + r * l AS n, x, l * {times} AS len FROM samples JOIN ln USING (stream_id), range({times}) t(r)),
+ix AS (SELECT stream_id, f, k, f * 160 - 200 + k AS i, len FROM (SELECT DISTINCT stream_id, len FROM xs), LATERAL (SELECT unnest(range(len // 160)) AS f), range(400) t(k)),
+fm AS (SELECT ix.stream_id, f, k, x * (0.5 - 0.5 * cos(2 * pi() * k / 400)) AS x FROM ix JOIN xs ON xs.stream_id = ix.stream_id AND xs.n = CASE WHEN i < 0 THEN -i WHEN i >= ix.len THEN 2 * (ix.len - 1) - i ELSE i END),
+cs AS (SELECT k, b, cos(2 * pi() * (k * b % 400) / 400) AS c, sin(2 * pi() * (k * b % 400) / 400) AS s FROM range(400) t(k), range(201) u(b)),
+sp AS (SELECT stream_id, f, b, pow(sum(x * c), 2) + pow(sum(x * s), 2) AS p FROM fm JOIN cs USING (k) GROUP BY 1, 2, 3),
+mp AS (SELECT j, CASE WHEN m >= 15 THEN 1000 * exp(ln(6.4::DOUBLE) / 27 * (m - 15)) ELSE m * 200 / 3 END AS e FROM (SELECT j, j * (15 + ln(8::DOUBLE) / (ln(6.4::DOUBLE) / 27)) / ({bands} + 1) AS m FROM range({bands} + 2) t(j))),
+fl AS (SELECT lo.j AS band, b, greatest(least((b * 40 - lo.e) / (mi.e - lo.e), (hi.e - b * 40) / (hi.e - mi.e)), 0) * 2 / (hi.e - lo.e) AS w FROM mp lo JOIN mp mi ON mi.j = lo.j + 1 JOIN mp hi ON hi.j = lo.j + 2, range(201) t(b)),
+me AS (SELECT stream_id, f, band, sum(p * w) AS v FROM sp JOIN fl USING (b) WHERE w > 0 GROUP BY 1, 2, 3)"""
+
+
+@query("mel_features", using("samples", f""", {MEL.format(times=5, bands=40)}, lg AS (SELECT *, log10(greatest(v, 1e-10)) AS g FROM me), tp AS (SELECT stream_id, max(g) AS top FROM lg GROUP BY 1)
+SELECT stream_id, f AS frame, CAST(band AS INT) AS band, round((greatest(g, top - 8) + 4) / 4, 6) AS mel FROM lg JOIN tp USING (stream_id)"""))
 def mel_features(spark, d):
     m = sg.mel_features(fx.samples(spark, d, 5), 40)
-    return m.select("stream_id", "frame", F.round(F.col("mel")[0], 6).alias("mel0"), F.round(F.array_max("mel"), 6).alias("top"))
+    return m.select("stream_id", "frame", F.posexplode("mel").alias("band", "mel")).withColumn("mel", F.round("mel", 6))
 
 
 @query("voice_vectors")

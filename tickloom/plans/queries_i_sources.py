@@ -12,11 +12,12 @@ from tickloom.plans import fixtures as fx
 from tickloom.plans.queries_c_catalog import sql_tc
 from tickloom.plans.registry import query
 from tickloom.plans.sqltables import MS, using
-from tickloom.session import shared_folder
+from tickloom.session import cut_lineage, setting, shared_folder
 from tickloom.sources import captions as sc
 from tickloom.sources import documents as dc
 from tickloom.sources import interchange as ic
 from tickloom.sources import media as md
+from tickloom.sources.ranges import media_source
 
 
 def folder(spark, name):
@@ -42,33 +43,14 @@ def spoken(spark, d):
     return fx.captions(spark, d).withColumn("speaker", F.when(F.col("caption_id") % 2 == 0, F.concat(F.lit("Voice "), F.col("caption_id") % 3)))
 
 
-@query("scan_captions_vtt", using("captions", f"SELECT CAST(track_id AS VARCHAR) AS track_id, start - {MS * 5000} AS start, start + duration - {MS * 5000} AS \"end\", text, CASE WHEN caption_id % 2 = 0 THEN 'Voice ' || (caption_id % 3) END AS speaker FROM captions WHERE start >= {MS * 5000}"))
-def scan_captions_vtt(spark, d):
-    c = spoken(spark, d).filter(F.col("start") >= MS * 5000)
-    cues, _ = sc.scan_vtt(as_lines(sc.write_captions(c, fmt="vtt", offset=5000 * MS), "track_id"))
-    return cues.select(F.col("path").alias("track_id"), "start", "end", "text", "speaker")
-
-
-@query("scan_captions_warnings", using("captions", """SELECT CAST(track_id AS VARCHAR) AS path, 'line ' || (2 + row_number() OVER (PARTITION BY track_id ORDER BY caption_id) * 5) || ': ignored stray text "stray ' || caption_id || '"' AS message FROM captions WHERE caption_id % 1000000 < 5
-UNION ALL SELECT CAST(track_id AS VARCHAR), 'cue at 00:00:0' || (caption_id % 1000000) || ',500 has end before start; skipped' FROM captions WHERE caption_id % 1000000 < 5 AND caption_id % 3 = 0"""))
-def scan_captions_warnings(spark, d):
-    """Each cue is followed by a blank line and stray text; every third ends before it starts."""
-    c = fx.captions(spark, d).withColumn("i", F.col("caption_id") % 1_000_000).filter("i < 5")
-    t = F.concat(F.lit("00:00:0"), F.col("i"), F.lit(",500 --> 00:00:0"), F.when(F.col("caption_id") % 3 == 0, F.col("i")).otherwise(F.col("i") + 1), F.lit(",200"))
-    ls = F.array(F.lit("7"), t, F.lit("text"), F.lit(""), F.lit(""), F.concat(F.lit("stray "), F.col("caption_id")))
-    lines = c.select(F.col("track_id").cast("string").alias("path"), "i", F.posexplode(ls).alias("k", "line"))
-    lines = lines.select("path", (F.col("i") * 5 + F.col("k") + 1).alias("pos"), "line").filter("line != '7' or pos = 1")
-    return sc.scan_srt(lines)[1]
-
-
 CLOCK_I = "lpad(CAST(i // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i % 60 AS VARCHAR), 2, '0')"
 
 
-@query("scan_captions_warnings_whole", using("captions", f""", k AS (SELECT *, caption_id % 1000000 AS i FROM captions)
+@query("scan_captions_warnings", using("captions", f""", k AS (SELECT *, caption_id % 1000000 AS i FROM captions)
 SELECT CAST(track_id AS VARCHAR) AS path, 'line ' || (7 + i * 5) || ': ignored stray text "stray ' || caption_id || '"' AS message FROM k
 UNION ALL SELECT CAST(track_id AS VARCHAR), 'cue at ' || {CLOCK_I} || ',500 has end before start; skipped' FROM k WHERE caption_id % 3 = 0"""))
-def scan_captions_warnings_whole(spark, d):
-    """As ``scan_captions_warnings``, over all captions of every track."""
+def scan_captions_warnings(spark, d):
+    """Each cue is followed by a blank line and stray text; every third ends before it starts."""
     c = fx.captions(spark, d).withColumn("i", F.col("caption_id") % 1_000_000)
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     at = lambda s: F.concat(two(F.call_function("div", s, F.lit(3600))), F.lit(":"), two(F.call_function("div", s, F.lit(60)) % 60), F.lit(":"), two(s % 60))
@@ -79,9 +61,9 @@ def scan_captions_warnings_whole(spark, d):
     return sc.scan_srt(lines)[1]
 
 
-@query("scan_captions_vtt_whole", using("captions", f"SELECT CAST(track_id AS VARCHAR) AS track_id, greatest(start - {MS * 5000}, 0) AS start, start + duration - {MS * 5000} AS \"end\", text, CASE WHEN caption_id % 2 = 0 THEN 'Voice ' || (caption_id % 3) END AS speaker FROM captions WHERE start + duration > {MS * 5000}"))
-def scan_captions_vtt_whole(spark, d):
-    """As ``scan_captions_vtt``, over all captions: the writer's offset drops what ends before it and clamps what it cuts."""
+@query("scan_captions_vtt", using("captions", f"SELECT CAST(track_id AS VARCHAR) AS track_id, greatest(start - {MS * 5000}, 0) AS start, start + duration - {MS * 5000} AS \"end\", text, CASE WHEN caption_id % 2 = 0 THEN 'Voice ' || (caption_id % 3) END AS speaker FROM captions WHERE start + duration > {MS * 5000}"))
+def scan_captions_vtt(spark, d):
+    """Over all captions: the writer's offset drops what ends before it and clamps what it cuts."""
     cues, _ = sc.scan_vtt(as_lines(sc.write_captions(spoken(spark, d), fmt="vtt", offset=5000 * MS), "track_id"))
     return cues.select(F.col("path").alias("track_id"), "start", "end", "text", "speaker")
 
@@ -130,6 +112,39 @@ def scan_otio(spark, d):
     return r.select("path", "name", "url", "start", "duration", "source_in")
 
 
+def nested_documents(spark, d):
+    """One document per sequence: its first track, which ends in a stack with the second one, which ends in a stack with the third.
+
+    The stacks of even sequences have a source range of 50 frames from frame 10.
+    """
+    from tickloom.operators.ordered import prev, scan
+
+    c = scan(fx.spans(spark, d), ["track_id"], ["start", "clip_id"], _e=prev("end"))
+    rt = lambda v: F.struct(F.lit(25.0).alias("rate"), F.call_function("div", v, F.col("ft")).cast("double").alias("value"))
+    rng = lambda a, n: F.struct(rt(a).alias("start_time"), rt(n).alias("duration"))
+    zero = F.lit(0).cast("long")
+    gap = F.to_json(F.struct(F.lit("Gap.1").alias("OTIO_SCHEMA"), rng(zero, F.col("start") - F.coalesce("_e", zero)).alias("source_range")))
+    clip = F.to_json(F.struct(F.lit("Clip.2").alias("OTIO_SCHEMA"), "name", rng(F.col("source_in"), F.col("duration")).alias("source_range")))
+    kids = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("start", F.concat_ws(",", gap, clip).alias("k")))), lambda x: x["k"]))
+    t = c.groupBy("sequence_id", "track_id").agg(kids.alias("k"))
+    t = t.groupBy("sequence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("track_id", "k"))), lambda x: x["k"]).alias("t"))
+    range_ = F.when(F.col("sequence_id") % 2 == 0, '"source_range":{"start_time":{"rate":25.0,"value":10.0},"duration":{"rate":25.0,"value":50.0}},').otherwise("")
+    stack = lambda inner: F.concat(F.lit('{"OTIO_SCHEMA":"Stack.1","name":"nest",'), range_, F.lit('"children":[{"OTIO_SCHEMA":"Track.1","kind":"Video","children":['), inner, F.lit("]}]}"))
+    last = lambda i, more: F.when(F.size("t") > i + 1, F.concat(F.get("t", F.lit(i)), F.lit(","), stack(more))).otherwise(F.get("t", F.lit(i)))
+    top = last(0, last(1, F.get("t", F.lit(2))))
+    doc = F.concat(F.lit('{"OTIO_SCHEMA":"Timeline.1","name":"t","tracks":{"OTIO_SCHEMA":"Stack.1","children":[{"OTIO_SCHEMA":"Track.1","kind":"Video","children":['), top, F.lit("]}]}}"))
+    return t.select(F.col("sequence_id").cast("string").alias("path"), doc.alias("value"))
+
+
+@query("scan_otio_nested", using("spans", f""", r AS (SELECT *, dense_rank() OVER (PARTITION BY sequence_id ORDER BY track_id) AS lv FROM spans), n AS (SELECT sequence_id, lv, count(*) AS n, max("end" // ft * {F25}) AS e FROM r GROUP BY 1, 2),
+w AS (SELECT a.sequence_id, a.n AS n1, a.e AS e1, b.n AS n2, b.e AS e2, c.e AS e3 FROM n a LEFT JOIN n b ON b.sequence_id = a.sequence_id AND b.lv = 2 LEFT JOIN n c ON c.sequence_id = a.sequence_id AND c.lv = 3 WHERE a.lv = 1),
+p AS (SELECT *, '0' AS q1, '0/0.' || (2 * n1) AS q2, '0/0.' || (2 * n1) || '/0.' || (2 * n2) AS q3, CASE WHEN sequence_id % 2 = 0 THEN 50 * {F25} ELSE e3 END AS d3, CASE WHEN sequence_id % 2 = 0 THEN 50 * {F25} ELSE e2 + coalesce(e3, 0) END AS d2, CASE WHEN sequence_id % 2 = 0 THEN 10 * {F25} ELSE 0 END AS s FROM w)
+SELECT CAST(sequence_id AS VARCHAR) AS path, CASE lv WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q3 END AS seq, 'clip' AS type, name, start // ft * {F25} AS start, duration // ft * {F25} AS duration, source_in // ft * {F25} AS source_in FROM r JOIN p USING (sequence_id)
+UNION ALL SELECT CAST(sequence_id AS VARCHAR), q1, 'nest', 'nest', e1, d2, s FROM p WHERE n2 IS NOT NULL UNION ALL SELECT CAST(sequence_id AS VARCHAR), q2, 'nest', 'nest', e2, d3, s FROM p WHERE e3 IS NOT NULL"""))
+def scan_otio_nested(spark, d):
+    return ic.scan_otio_tree(nested_documents(spark, d))["items"].select("path", "seq", "type", "name", "start", "duration", "source_in")
+
+
 @query("scan_projects", using("clips", "SELECT sequence_id % 10 AS project_id, sequence_id, track_id, clip_id, item_id, name, start, duration, source_in, speed, reverse, enabled FROM clips WHERE sequence_id % 10 <> 9"))
 def scan_projects(spark, d):
     """Ten project documents, one of a newer version, written as JSON and read back."""
@@ -200,6 +215,19 @@ def read_media(spark, d):
     return s.groupBy("stream_id").agg(F.count("*").alias("rows"), F.round(F.sum("x"), 6).alias("total"))
 
 
+@query("read_media_source", "SELECT p_partkey AS stream_id, count(*) AS rows, round(sum(n % 7 / 7.0::DOUBLE), 6) AS total FROM (SELECT p_partkey, unnest(range(p_size, p_size + 100 + p_size)) AS n FROM part) WHERE n >= 40 AND n < 120 GROUP BY 1")
+def read_media_source(spark, d):
+    """The ranges of the part table through the data source, with bounds on the position that it reads no further than."""
+    req = fx.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("item_id"), F.col("p_size").cast("long").alias("lo"), (F.col("p_size") * 2 + 100).cast("long").alias("hi"))
+    path = folder(spark, "ranges")
+    req.write.parquet(path)
+    spark.dataSource.register(media_source("tick_ramp", ramp, "stream_id long, ch int, n long, x double"))
+    # pushing filters into Python sources is off by default
+    with setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
+        s = spark.read.format("tick_ramp").option("ranges", path).load().where("n >= 40 and n < 120")
+        return cut_lineage(s.groupBy("stream_id").agg(F.count("*").alias("rows"), F.round(F.sum("x"), 6).alias("total")))
+
+
 def sql_clock(t: str, sep: str) -> str:
     ms = f"(({t} + {MS // 2}) // {MS})"
     two = lambda x: f"lpad(CAST({x} AS VARCHAR), 2, '0')"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,14 @@ def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
         build().write.parquet(path)
         _STORED[mark] = path
     return spark.read.parquet(_STORED[mark])
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Sets a session setting for the length of a block and puts the old one back."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
