@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Positions of one partition: long ranges are cut, short ones are read together.
@@ -71,10 +72,10 @@ class RangeReader(DataSourceReader):
         return [*out, Pieces(held)] if held or not out else out
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
-        names = self.schema.fieldNames()
+        schema = to_arrow_schema(self.schema)
         for item, lo, hi in partition.ranges:
             for frame in self.read_range(item, lo, hi):
-                yield pa.RecordBatch.from_pandas(frame[names], preserve_index=False)
+                yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
 
 
 def media_source(name: str, reader: Callable[[int, int, int], Iterator[pd.DataFrame]], schema: str, item: str = "stream_id", position: str = "n") -> type[DataSource]:
