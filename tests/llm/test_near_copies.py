@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 from test_corpus import prose
 
 import corpus_pipeline
@@ -58,9 +57,18 @@ def test_repeated_rows_and_null_ids_leave_one(spark):
     assert sorted(map(tuple, corpus_pipeline.drop_copies(spark, df, "").collect())) == [(8, t + " end"), (9, prose(2, 50))]
 
 
-def test_shared_tokens_across_batches():
-    t = np.array([1, 2, 2, 3, 4, 4, 4, 5, 6, 6])
-    df = pd.DataFrame({"token": t, "key": np.arange(len(t)), "n": 1})
-    for size in (1, 2, 3, 10):
-        got = pd.concat(near_copies._shared(df[i : i + size] for i in range(0, len(df), size)))
-        assert got["key"].tolist() == [1, 2, 4, 5, 6, 8, 9]
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(9)
+    common = np.sort(rng.integers(0, 1 << 62, 30).astype(np.uint64))
+    counts = rng.integers(3, 50, 30)
+    for _ in range(3000):
+        both = int(rng.integers(1, 60))
+        own = [int(rng.integers(0, max(both // 4, 0) + 1)) for _ in range(2)]
+        if 5 * both < 4 * (both + sum(own)):
+            continue
+        shared = rng.integers(0, 1 << 62, both).astype(np.uint64)
+        shared[: min(both, 10)] = common[rng.integers(0, 30, min(both, 10))]
+        a, b = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 62, k).astype(np.uint64)])) for k in own)
+        inter = len(np.intersect1d(a, b))
+        if 5 * inter >= 4 * (len(a) + len(b) - inter):
+            assert np.intersect1d(near_copies.signatures_of(a, common, counts), near_copies.signatures_of(b, common, counts)).size

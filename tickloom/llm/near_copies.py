@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.sampling import bounded
+from tickloom.llm.settings import setting
 from tickloom.llm.simhash import keep_first, near_pairs, row_hash
 from tickloom.session import cut_lineage
 
@@ -26,6 +26,8 @@ COMMON = 30_000
 SENT = 500_000
 #: Rounds in which every text is compared with the best leader of a signature only.
 ROUNDS = 2
+#: Bytes of an Arrow batch.
+BATCH = "4m"
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,25 +98,6 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     return h[order], n[order]
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of ``token``, those whose token occurs more than once; one row is held between batches."""
-    last, again = None, False
-    for b in batches:
-        if not len(b):
-            continue
-        if last is not None:
-            b = pd.concat([last, b])
-        same = np.diff(b["token"].to_numpy(np.int64)) == 0
-        hit = np.zeros(len(b), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        hit[0] |= again
-        yield b[:-1][hit[:-1]]
-        last, again = b[-1:], bool(hit[-1])
-    if again:
-        yield last
-
-
 def _alike(n: Column, m: Column) -> Column:
     return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
 
@@ -142,6 +125,12 @@ def similar(pairs: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     pairs = cut_lineage(pairs)
+    # a row holds the shingles of two texts, and both sides hold a batch several times over
+    with setting(pairs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):
+        return _similar(pairs, texts, repeated, shingles, close)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, repeated: bool, shingles, close) -> DataFrame:
     asked = cut_lineage(pairs.select(F.col("tu").alias("tie")).union(pairs.select("tv")).distinct())
     few = asked.count() <= SENT
     found = texts.join(F.broadcast(asked) if few else asked, "tie", "left_semi")
@@ -174,15 +163,19 @@ def near_links(reps: DataFrame, texts: DataFrame, repeated: bool = True) -> Data
     different groups are compared, if they can be similar. No pair that can be similar is left out.
     """
     links = print_links(reps, texts, repeated)
-    signs = reps.select("key", "n", F.posexplode("signs").alias("i", "token"))
-    rows = cut_lineage(signs.select("token", "key", "n", "i").repartition("token").sortWithinPartitions("token").mapInPandas(_shared, "token long, key long, n int, i int"))
-    size = rows.groupBy("token").agg(F.count("*").alias("c"))
-    weight = rows.join(size, "token").groupBy("key").agg(F.sum(F.col("c") - 1).alias("w"))
-    rows = cut_lineage(rows.join(weight, "key"))
+    known = reps.join(components(links).toDF("key", "g"), "key", "left").withColumn("g", F.coalesce("g", "key"))
+    signs = known.select("key", "g", "n", F.posexplode("signs").alias("i", "token"))
+    same = W.partitionBy("token")
+    rows = signs.withColumns({"lo": F.min("g").over(same), "hi": F.max("g").over(same), "c": F.count("*").over(same)}).where("lo <> hi").drop("lo", "hi", "g")
+    rows = cut_lineage(rows)
+    weight = rows.groupBy("key").agg(F.sum(F.col("c") - 1).alias("w"))
+    rows = cut_lineage(rows.drop("c").join(weight, "key"))
     ties = reps.select("key", "tie")
     named = lambda p: p.join(ties.toDF("u", "tu"), "u").join(ties.toDF("v", "tv"), "v")
     tested = None
     for k in range(ROUNDS + 1):
+        if rows.isEmpty():
+            return links
         placed = rows.join(components(links).toDF("key", "g"), "key", "left").withColumn("g", F.coalesce("g", "key"))
         split = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
         rows = cut_lineage(placed.join(split, "token", "left_semi"))
