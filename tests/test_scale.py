@@ -80,3 +80,44 @@ def test_blend_modes_default_to_those_that_occur(spark):
             assert "unknown blend mode" in str(e)
         else:
             raise AssertionError("unknown mode accepted")
+
+
+def test_a_long_run_of_overlapping_cues_in_many_chunks(spark):
+    import random
+
+    from tickloom.operators import captions as cp
+
+    rng = random.Random(8)
+    rows = [(1, k, s, s + rng.choice([1, 3, 40, 900]), "t") for k, s in enumerate(sorted(rng.randrange(0, 600) for _ in range(900)))] + [(1, 1000, 0, 700, "t"), (1, 1001, 0, 900, "t"), (2, 1, 5, 5, "t"), (2, 2, 5, 9, "t")]
+    df = spark.createDataFrame(rows, "track_id long, cue_id long, start long, end long, text string")
+    want, gone = [], []
+    for track in (1, 2):
+        last = None
+        for _, i, a, b, _ in sorted((r for r in rows if r[0] == track and r[3] > r[2]), key=lambda r: (r[2], r[3], r[1])):
+            if last is not None and a < last[2]:
+                if a > last[1]:
+                    last[2] = a
+                else:
+                    a = last[2]
+                    if b <= a:
+                        gone.append((track, i))
+                        continue
+            last = [i, a, b]
+            want.append((track, last))
+    for chunk in (16, 8192):
+        good, dropped = cp.normalize_cues(df, chunk=chunk)
+        assert sorted((r.track_id, r.cue_id, r.start, r.end) for r in good.collect()) == sorted((t, *c) for t, c in want)
+        assert sorted(map(tuple, dropped.collect())) == sorted(gone)
+
+
+def test_one_colour_through_a_lattice_is_not_shuffled(spark):
+    from tickloom.operators import pixels as px
+
+    p = spark.range(500).select(F.col("id").alias("frame_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0.3).alias("r"), F.lit(0.7).alias("g"), F.when(F.col("id") > 0, 0.7).alias("b"), F.lit(1.0).alias("a"))
+    at = spark.range(125).select(F.floor(F.col("id") / 25).cast("int").alias("ri"), (F.floor(F.col("id") / 5) % 5).cast("int").alias("gi"), (F.col("id") % 5).cast("int").alias("bi"))
+    lattice = at.select("*", (F.col("ri") * F.col("gi") / 16.0).alias("lr"), (F.col("bi") / 4.0).alias("lg"), (F.col("ri") * F.col("ri") / 16.0).alias("lb"))
+    out = px.apply_lut3d(p, lattice, 5)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    near = lambda rows: {(round(r.r, 9), round(r.g, 9), round(r.b, 9)) for r in rows}
+    assert near(out.where("frame_id > 0").collect()) == near(px.apply_large_lut3d(p.where("frame_id > 0"), lattice, 5).collect())
+    assert out.where("r is null").count() == 1
