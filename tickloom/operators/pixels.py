@@ -150,8 +150,10 @@ def vectorscope_peaks(cells: DataFrame, size: int, n: int = 5, share: float = 0.
 def image_diff(a: DataFrame, b: DataFrame, min_psnr: float = 45.0, max_abs: int = 12, p99: int = 2) -> DataFrame:
     """8-bit comparison per frame: max, mean, PSNR, p99 of the per-pixel maximum, differing pixels, verdict."""
     byte = lambda c: _round(cl.clamp(c) * 255)
-    side = lambda df, n: df.select("frame_id", "x", "y", *[byte(c).alias(f"{n}{c}") for c in "rgba"])
-    j = side(a, "p").join(side(b, "q"), ["frame_id", "x", "y"])
+    side = lambda df, n: df.select("frame_id", "x", "y", F.lit(n).alias("_s"), *[byte(c).alias(c) for c in "rgba"])
+    # both sides are stacked and meet by grouping: a join would trust estimates that miss how far rows were exploded
+    of = lambda n, c: F.max(F.when(F.col("_s") == n, F.col(c))).alias(f"{n}{c}")
+    j = side(a, "p").unionByName(side(b, "q")).groupBy("frame_id", "x", "y").agg(*[of(n, c) for n in "pq" for c in "rgba"], F.min("_s").alias("_lo"), F.max("_s").alias("_hi")).filter("_lo < _hi")
     d = [F.abs(F.col(f"p{c}") - F.col(f"q{c}")) for c in "rgba"]
     j = j.select("frame_id", F.greatest(*d).alias("m"), sum(d).alias("s"), sum(x * x for x in d).alias("q"))
     # at most 256 rows per frame from here on
@@ -221,13 +223,15 @@ def frame_signatures(pixels: DataFrame, w: int, h: int, stride: tuple[int, int]
     v8 = {c: _round(cl.clamp(c) * 255) for c in "rgb"}
     luma = 0.2126 * v8["r"] + 0.7152 * v8["g"] + 0.0722 * v8["b"]
     cell = idiv(F.col("y") * GRID_H, F.lit(h)) * GRID_W + idiv(F.col("x") * GRID_W, F.lit(w))
-    grid = p.groupBy("frame_id", cell.cast("int").alias("i")).agg((F.avg(luma) / 255).alias("v"), F.count("*").alias("n"))
-    hist = p.select("frame_id", F.explode(F.array(*[idiv(v8[c] * BINS, F.lit(256)).cast("int") + k * BINS for k, c in enumerate("rgb")])).alias("i")).groupBy("frame_id", "i").agg(F.count("*").alias("v"))
-    g = grid.groupBy("frame_id").agg(F.sum("n").alias("_n"), F.collect_list(F.struct("i", "v")).alias("_g"))
-    k = hist.groupBy("frame_id").agg(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("_h"))
-    full = lambda c, size: F.pandas_udf(_dense(size), T.ArrayType(T.DoubleType()))(F.col(c)["i"], F.col(c)["v"])
-    j = g.join(k, "frame_id").select("frame_id", full("_g", GRID_W * GRID_H).alias("grid"), full("_h", 3 * BINS).alias("_h"), "_n")
-    return j.select("frame_id", "grid", F.transform("_h", lambda v: v / F.col("_n")).alias("hist"))
+    # one pass: cells are numbered from 0, bins after them
+    codes = [cell.cast("int"), *[idiv(v8[c] * BINS, F.lit(256)).cast("int") + GRID_W * GRID_H + k * BINS for k, c in enumerate("rgb")]]
+    q = p.select("frame_id", luma.alias("_y"), F.explode(F.array(*codes)).alias("i")).groupBy("frame_id", "i").agg(F.avg("_y").alias("y"), F.count("*").alias("n"))
+    v = F.when(F.col("i") < GRID_W * GRID_H, F.col("y") / 255).otherwise(F.col("n").cast("double"))
+    n = F.sum(F.when(F.col("i") < GRID_W * GRID_H, F.col("n")))
+    j = q.groupBy("frame_id").agg(n.alias("_n"), F.collect_list(F.struct("i", v.alias("v"))).alias("_v"))
+    full = F.pandas_udf(_dense(GRID_W * GRID_H + 3 * BINS), T.ArrayType(T.DoubleType()))(F.col("_v")["i"], F.col("_v")["v"])
+    j = j.select("frame_id", "_n", full.alias("_v"))
+    return j.select("frame_id", F.slice("_v", 1, GRID_W * GRID_H).alias("grid"), F.transform(F.slice("_v", GRID_W * GRID_H + 1, 3 * BINS), lambda v: v / F.col("_n")).alias("hist"))
 
 
 def _dense(size: int):
