@@ -116,8 +116,18 @@ def item_usage(clips: DataFrame) -> DataFrame:
 
 
 def file_size_text(b) -> Column:
-    b = col(b)
-    scaled = lambda n, digits, unit: F.concat(F.format_string(f"%.{digits}f", b / F.lit(float(n))), F.lit(unit))
+    """Bytes in the largest unit that they fill; a value halfway between two texts takes the even digit."""
+    b = col(b).cast("long")
+
+    def scaled(n: int, digits: int, unit: str) -> Column:
+        k = 10**digits
+        whole, rest = idiv(b, F.lit(n)), b % n
+        part, left = idiv(rest * k, F.lit(n)), (rest * k) % n
+        steps = whole * k + part
+        steps = steps + F.when((left * 2 > n) | ((left * 2 == n) & (steps % 2 == 1)), 1).otherwise(0)
+        text = idiv(steps, F.lit(k)).cast("string")
+        return F.concat(text, F.lit("."), F.lpad((steps % k).cast("string"), digits, "0"), F.lit(unit)) if digits else F.concat(text, F.lit(unit))
+
     return F.when(b >= 1 << 30, scaled(1 << 30, 2, " GB")).when(b >= 1 << 20, scaled(1 << 20, 1, " MB")).when(b >= 1 << 10, scaled(1 << 10, 0, " KB")).otherwise(F.concat(b.cast("string"), F.lit(" B")))
 
 
