@@ -109,8 +109,10 @@ def merge_captions(captions: DataFrame, groups: DataFrame) -> tuple[DataFrame, D
     fine = (F.col("p1") - F.col("p0") + 1 == F.col("n")) & (F.col("t0") == F.col("track_id")) & (F.col("n") >= 2)
     merged = agg.filter(fine).select("track_id", "caption_id", "start", (F.col("end") - F.col("start")).alias("duration"), "text")
     refused = agg.filter(~fine).select("group_id")
-    rest = c.join(agg.filter(fine).select("group_id"), "group_id", "left_anti").select("track_id", "caption_id", "start", "duration", "text")
-    return rest.unionByName(merged), refused
+    cols = ["track_id", "caption_id", "start", "duration", "text"]
+    # captions of no group stay out of the join by group: they would all meet in one task
+    kept = picked.join(agg.filter(fine).select("group_id"), "group_id", "left_anti")
+    return c.filter("group_id is null").select(cols).unionByName(kept.select(cols)).unionByName(merged), refused
 
 
 def clock(t, sep: str):
