@@ -93,6 +93,7 @@ def test_small_files_are_written_listed_and_read_in_the_tasks(spark, tmp_path):
     assert dc.document_lines(spark, out).filter("line != ''").count() == 15
     prints = md.scan_media_files(spark, out)
     assert prints.select("fingerprint").distinct().count() == prints.count() >= 5
+    assert sorted(map(tuple, md.scan_media_files(spark, f"{tmp_path}/do*/part-*").collect())) == sorted(map(tuple, prints.collect()))
     one = prints.first()["path"]
     assert [tuple(r) for r in md.scan_media_files(spark, one).collect()] == [tuple(r) for r in prints.filter(F.col("path") == one).collect()]
 
