@@ -16,7 +16,7 @@ from tickloom.functions.timebase import TPS, col, fdiv, idiv, round_half_away, s
 from tickloom.operators.intervals import merge_ranges, overlap_join
 from tickloom.session import cut_lineage
 from tickloom.operators.ordered import (
-    INDEX_CHUNK, first_after, first_from, following, islands, last_upto, max_upto, orbit, prev, scan, sum_before, sum_upto,
+    INDEX_CHUNK, each_group, first_after, first_from, following, islands, last_upto, max_upto, orbit, prev, scan, sum_before, sum_upto,
 )
 
 KEY = ["sequence_id"]
@@ -142,35 +142,37 @@ def caption_blocks(words: DataFrame, ft: int, max_chars: int = 42, lines: int =
     home = idiv("idx", F.lit(chunk))
     spread = w.select("*", F.explode(F.sequence(F.greatest(fdiv(F.col("idx") - ahead, F.lit(chunk)), F.lit(0)), home)).alias("_c"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
+    def solve(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
         size = pdf["text"].str.len().tolist()
         stop = pdf["text"].str.endswith((".", "?", "!")).tolist()
         s, e = pdf["start"].to_numpy(), pdf["end"].to_numpy()
         who = pdf["speaker"].fillna("\0").to_numpy()
-        idx, c = pdf["idx"].to_numpy(), int(pdf["_c"].iloc[0])
+        idx, home = pdf["idx"].tolist(), pdf["_c"].tolist()
         hard = np.ones(len(idx), bool)
         hard[1:] = (who[1:] != who[:-1]) | (s[1:] - e[:-1] >= break_pause)
-        mine, total = int((idx < (c + 1) * chunk).sum()), len(idx)
         s, e, hard = s.tolist(), e.tolist(), hard.tolist()
-        out = []
-        for a in range(mine):
-            cur, used, row = size[a], size[a], 1
-            i = a + 1
-            while i < total:
-                fits = cur + 1 + size[i] <= max_chars
-                if hard[i] or not (fits or row < lines) or e[i] - s[a] > max_duration or (stop[i - 1] and (used + row - 1) * 2 >= room):
+        own, out = [], []
+        for first, total in groups:
+            for a in range(first, total):
+                if idx[a] >= (home[a] + 1) * chunk:
                     break
-                if fits:
-                    cur, used = cur + 1 + size[i], used + 1 + size[i]
-                else:
-                    cur, row, used = size[i], row + 1, used + size[i]
-                i += 1
-            out.append(int(idx[i]) if i < len(idx) else None)
-        return pd.DataFrame({KEY[0]: pdf[KEY[0]].iloc[:mine], "pos": idx[:mine], "nxt": pd.array(out, dtype="Int64")})
+                cur, used, row = size[a], size[a], 1
+                i = a + 1
+                while i < total:
+                    fits = cur + 1 + size[i] <= max_chars
+                    if hard[i] or not (fits or row < lines) or e[i] - s[a] > max_duration or (stop[i - 1] and (used + row - 1) * 2 >= room):
+                        break
+                    if fits:
+                        cur, used = cur + 1 + size[i], used + 1 + size[i]
+                    else:
+                        cur, row, used = size[i], row + 1, used + size[i]
+                    i += 1
+                own.append(a)
+                out.append(idx[i] if i < total else None)
+        return pdf.iloc[own][KEY].assign(pos=pdf["idx"].to_numpy()[own], nxt=pd.array(out, dtype="Int64"))
 
     kinds = dict(words.dtypes)
-    jumps = spread.repartition(*KEY, "_c").groupBy(*KEY, "_c").applyInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in KEY), "pos long", "nxt long"]))
+    jumps = each_group(spread, [*KEY, "_c"], ["idx"], solve, ", ".join([*(f"{k} {kinds[k]}" for k in KEY), "pos long", "nxt long"]))
     heads = orbit(jumps, KEY).select(*KEY, F.col("pos").alias("idx"), F.lit(True).alias("_h"))
     tagged = scan(w.join(heads, [*KEY, "idx"], "left"), KEY, ["idx"], chunk, block=last_upto(F.when(F.col("_h"), F.col("idx"))))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
