@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tickloom.functions.timebase import TPS, col, fdiv, gain, idiv
 from tickloom.operators.intervals import merge_ranges
-from tickloom.operators.ordered import TIME_CHUNK, first_from, last_before, last_upto, max_before, orbit, prev, scan, sum_before
+from tickloom.operators.ordered import TIME_CHUNK, each_group, first_from, last_before, last_upto, max_before, orbit, prev, scan, sum_before
 from tickloom.operators.ranks import halo, nearest_rank
 from tickloom.session import cut_lineage
 
@@ -373,11 +373,15 @@ def thin_keyframes(points: DataFrame, tol: float, min_gap: int = 0, hold: bool =
         small = small.unionByName(straight)
         rows = cut_lineage(left.unionByName(right))
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pdf.loc[_rdp(pdf["t"].to_numpy(dtype=float), pdf["v"].to_numpy(), tol), [*key, "t", "v"]] if len(pdf) > 2 else pdf[[*key, "t", "v"]]
+    def finish(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        t, v, keep = pdf["t"].to_numpy(dtype=float), pdf["v"].to_numpy(), np.ones(len(pdf), bool)
+        for a, b in groups:
+            if b - a > 2:
+                keep[a:b] = _rdp(t[a:b], v[a:b], tol)
+        return pdf.loc[keep, [*key, "t", "v"]]
 
-    kept = small.groupBy(*seg).applyInPandas(finish, p.schema).distinct()
+    # stretches of a lane share their ends only
+    kept = each_group(small, [*key, "a"], ["t"], finish, p.schema).distinct()
     if min_gap <= 0:
         return kept
     # spacing is a left-to-right walk to the first point far enough away; the last point always stays
