@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.timebase import col, snap_nearest
-from tickloom.operators.ordered import INDEX_CHUNK, following, scan, sum_before
+from tickloom.operators.ordered import INDEX_CHUNK, NONE, each_group, following, scan, sum_before
 from tickloom.session import cut_lineage
 
 MS = 254_016_000
@@ -53,21 +53,19 @@ def normalize_cues(cues: DataFrame, key: str = "track_id", ft=None, chunk: int =
     kind = s.schema[key].dataType.simpleString()
     state = f"{key} {kind}, _k long, s long, e long, xs long, xe long"
     none = F.lit(None).cast("long")
+    known = lambda entries: entries.select(key, "_k", *[F.coalesce(c, F.lit(NONE)).alias(c) for c in ("s", "e")])
 
     def chunks_from(entries: DataFrame) -> DataFrame:
         """Exit of the chunks that ``entries`` names, from the entry given there."""
 
-        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_i")
-            s0, e0 = pdf["s"].iloc[0], pdf["e"].iloc[0]
-            at = None if pd.isna(s0) else (int(s0), int(e0))
-            _, _, last = _walk_cues(pdf["start"].tolist(), pdf["end"].tolist(), at)
-            head = {key: [pdf[key].iloc[0]], "_k": [pdf["_k"].iloc[0]]}
-            now = at or (None, None)
-            return pd.DataFrame({**head, **{n: pd.array([v], dtype="Int64") for n, v in zip(("s", "e", "xs", "xe"), (*now, *last), strict=True)}})
+        def walk(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+            start, end, s0, e0 = (pdf[c].tolist() for c in ("start", "end", "s", "e"))
+            last = [_walk_cues(start[a:b], end[a:b], None if s0[a] == NONE else (s0[a], e0[a]))[2] or (NONE, NONE) for a, b in groups]
+            return pdf.iloc[[a for a, _ in groups]][[key, "_k", "s", "e"]].assign(xs=[x for x, _ in last], xe=[x for _, x in last])
 
-        j = s.select(key, "_k", "_i", "start", "end").join(entries, [key, "_k"])
-        return cut_lineage(j.repartition(key, "_k").groupBy(key, "_k").applyInPandas(walk, state))
+        j = s.select(key, "_k", "_i", "start", "end").join(known(entries), [key, "_k"])
+        out = each_group(j, [key, "_k"], ["_i"], walk, state)
+        return cut_lineage(out.withColumns({c: F.nullif(c, F.lit(NONE)) for c in ("s", "e", "xs", "xe")}))
 
     done = chunks_from(s.select(key, "_k").distinct().select(key, "_k", none.alias("s"), none.alias("e")))
     while True:
@@ -79,13 +77,12 @@ def normalize_cues(cues: DataFrame, key: str = "track_id", ft=None, chunk: int =
         done = cut_lineage(done.join(moved, [key, "_k"], "left_anti").unionByName(chunks_from(moved)))
     schema = s.select(*cols, "_i", F.lit(True).alias("kept")).schema
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        s0, e0 = pdf["s"].iloc[0], pdf["e"].iloc[0]
-        start, kept, _ = _walk_cues(pdf["start"].tolist(), pdf["end"].tolist(), None if pd.isna(s0) else (int(s0), int(e0)))
-        return pdf.assign(start=start, kept=kept)[[*cols, "_i", "kept"]]
+    def apply(pdf: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        start, end, s0, e0 = (pdf[c].tolist() for c in ("start", "end", "_s0", "_e0"))
+        walked = [_walk_cues(start[a:b], end[a:b], None if s0[a] == NONE else (s0[a], e0[a])) for a, b in groups]
+        return pdf.assign(start=[x for w in walked for x in w[0]], kept=[x for w in walked for x in w[1]])[[*cols, "_i", "kept"]]
 
-    ruled = s.join(done.select(key, "_k", "s", "e"), [key, "_k"]).repartition(key, "_k").groupBy(key, "_k").applyInPandas(apply, schema)
+    ruled = each_group(s.join(known(done).withColumnsRenamed({"s": "_s0", "e": "_e0"}), [key, "_k"]), [key, "_k"], ["_i"], apply, schema)
     ruled = cut_lineage(ruled)
     # a kept cue is cut off by the next one, in whichever chunk that is
     good = scan(ruled.filter("kept"), [key], ["_i"], INDEX_CHUNK, _cut=following("start"))
