@@ -1,6 +1,7 @@
 """The near-duplicate stage against all pairs by brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 from test_corpus import prose
@@ -57,6 +58,20 @@ def test_repeated_rows_and_null_ids_leave_one(spark):
     assert sorted(map(tuple, corpus_pipeline.drop_copies(spark, df, "").collect())) == [(8, t + " end"), (9, prose(2, 50))]
 
 
+def test_stage_leaves_no_tables_and_moves_no_documents(spark):
+    """Signatures (8 bytes each) must not stay in the shared folder, and documents are compared with the few dropped ones where they lie."""
+    from tickloom.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    data = [(k, prose(k // 2, 20_000) + " x" * (k % 2)) for k in range(40)]
+    df, before = spark.createDataFrame(data, "doc_id long, text string").repartition(3), size()
+    out = corpus_pipeline.drop_copies(spark, df, "")
+    assert size() - before < 40 * 8000 * 8 / 2
+    assert out.count() == 20 and sorted(r[0] for r in out.select("doc_id").collect()) == list(range(0, 40, 2))
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" in plan
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(9)
     common = np.sort(rng.integers(0, 1 << 62, 30).astype(np.uint64))

@@ -15,6 +15,8 @@ from tickloom.session import cut_lineage
 SHARD = 8192
 LEAF = 192
 VISITORS = 1 << 17
+#: Most dropped rows that are sent to all tasks (16 bytes each); beyond it the documents are shuffled.
+SENT = 500_000
 
 
 def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
@@ -245,9 +247,14 @@ def row_hash(docs: DataFrame) -> Column:
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     """``docs`` with one row of each group ``g`` of ``groups`` (id, tie, g): the smallest id, then the smallest ``row_hash``."""
     hashed = row_hash(docs)
+    groups = cut_lineage(groups)
     keep = groups.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("kid"), F.col("tie").alias("ktie"))).alias("k")).select("k.kid", "k.ktie")
-    twice = groups.groupBy("id", "tie").count().where("count > 1").select(F.col("id").alias("kid"), F.col("tie").alias("ktie"))
-    found = docs.join(keep, F.col(id_col).eqNullSafe(F.col("kid")) & (hashed == F.col("ktie")), "left_semi")
+    pairs = groups.select(F.col("id").alias("kid"), F.col("tie").alias("ktie"))
+    # rows of one id and hash are in one group, so what is not kept is dropped; fewer rows are dropped than kept mostly
+    away = cut_lineage(pairs.join(keep.select(F.col("kid").alias("k2"), F.col("ktie").alias("t2")), F.col("kid").eqNullSafe(F.col("k2")) & (F.col("ktie") == F.col("t2")), "left_anti").distinct())
+    twice = pairs.groupBy("kid", "ktie").count().where("count > 1").select("kid", "ktie")
+    away = F.broadcast(away) if away.count() <= SENT else away
+    found = docs.join(away, F.col(id_col).eqNullSafe(F.col("kid")) & (hashed == F.col("ktie")), "left_anti")
     if twice.isEmpty():
         return found
     many = found.join(twice, F.col(id_col).eqNullSafe(F.col("kid")) & (hashed == F.col("ktie")), "left_semi")
