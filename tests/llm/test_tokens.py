@@ -76,6 +76,22 @@ def test_pieces_give_the_ids_of_whole_texts(text):
 test_pieces_give_the_ids_of_whole_texts.cache = token_files.PieceCache(PATH)
 
 
+def test_learning_a_piece_copies_no_other(monkeypatch):
+    """The arrays of the pieces double when full, and pieces beyond the limit leave room for later ones."""
+    cache, words = token_files.PieceCache(PATH), [f"w{k}q" for k in range(3000)]
+    grown = []
+    for w in words:
+        pool = cache.pool
+        _, ids = cache.encode([w])
+        grown += [1] if cache.pool is not pool else []
+        assert ids.tolist() == cache.tokenizer.encode(w, add_special_tokens=False).ids
+    assert len(grown) < 20
+    monkeypatch.setattr(token_files, "REMEMBERED", 3000)
+    for text in ("new words here", "others come now", words[7] + " new"):
+        assert cache.encode([text])[1].tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(cache.places) == 3000
+
+
 def brute(rows):
     t, out, start = whole(), [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):

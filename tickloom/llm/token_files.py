@@ -173,7 +173,14 @@ class PieceCache:
         self.by_piece = form["model"]["type"] == "BPE" and form["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.fresh: list[str] = []
         self.places = _Places(self.fresh)
-        self.lengths, self.starts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # ids of all pieces in a row, and where those of each begin; the arrays double when they are full
+        self.known = self.used = 0
+        self.lengths, self.starts, self.pool = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+
+    @staticmethod
+    def _room(a: np.ndarray, size: int) -> np.ndarray:
+        """``a`` with room for ``size`` entries."""
+        return a if size <= len(a) else np.concatenate([a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)])
 
     def _learn(self) -> None:
         """Tokenises the new pieces: words of Latin letters by the model alone, the others by the whole tokenizer."""
@@ -188,27 +195,34 @@ class PieceCache:
         for k, e in zip(other, self.tokenizer.encode_batch_fast([self.fresh[k] for k in other], add_special_tokens=False), strict=True):
             ids[k] = e.ids
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        count, total = self.known + len(n), self.used + int(n.sum())
+        self.lengths, self.starts, self.pool = self._room(self.lengths, count), self._room(self.starts, count), self._room(self.pool, total)
+        self.lengths[self.known : count] = n
+        self.starts[self.known : count] = self.used + np.cumsum(n) - n
+        self.pool[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
+        self.known, self.used = count, total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, ids laid end to end)."""
         pieces = [self.piece.findall(t) if self.by_piece and not self.odd.search(t) else [t] for t in texts]
         n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        known, size = len(self.places), len(self.pool)
+        known, used = self.known, self.used
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
         if self.fresh:
             self._learn()
         n = self.lengths[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)]
+        # half the memory traffic, where 32 bits hold the places
+        kind = np.int32 if total + self.used < 1 << 31 else np.int64
+        first = (self.starts[at] - ends + n).astype(kind)
+        ids = self.pool[np.repeat(first, n) + np.arange(total, dtype=kind)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
         if len(self.places) > REMEMBERED:
             for piece in self.fresh:
                 del self.places[piece]
-            self.lengths, self.starts, self.pool = self.lengths[:known], self.starts[:known], self.pool[:size]
+            # their places are taken by the next ones
+            self.known, self.used = known, used
         self.fresh.clear()
         return np.diff(upto), ids
 
