@@ -275,8 +275,9 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def word_error_rate(pairs: DataFrame) -> DataFrame:
-    """``(doc_id, reference, hypothesis)`` -> errors, reference words and rate per document."""
-    t = pairs.select("doc_id", tokens("reference").alias("r"), tokens("hypothesis").alias("h"))
+    """``(doc_id, reference, hypothesis)`` -> errors, reference words and rate per document; a null text has no words."""
+    words_of = lambda text: tokens(F.coalesce(F.col(text), F.lit("")))
+    t = pairs.select("doc_id", words_of("reference").alias("r"), words_of("hypothesis").alias("h"))
     t = t.select("doc_id", F.size("r").cast("long").alias("words"), F.size("h").alias("_h"), F.pandas_udf(_distance, T.LongType())("r", "h").alias("errors"))
     rate = F.when(F.col("words") > 0, F.col("errors") / F.col("words")).when(F.col("_h") == 0, 0.0).otherwise(1.0)
     return t.select("doc_id", "words", "errors", rate.alias("wer"))
