@@ -296,12 +296,28 @@ def shots(cuts: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- colour -----------------------------------------------------------------------------------
 
+#: Most colours (codes of an item) that are sent to all tasks; 72 bytes each.
+COLOURS = 1 << 18
+
+
 def normalise_footage(pixels: DataFrame, media_color: DataFrame, dst_peak: float = 203.0) -> DataFrame:
     """Mixed code values ``(y, cb, cr)`` per item brought to display RGB.
 
     ``media_color(item_id, bits, full_range, matrix, curve, gamut, peak_nits)``: curve is srgb,
     linear, pq, hlg, slog3, vlog or logc3. Everything is a column expression over an equi join.
+    A colour costs some twenty powers: where about ``COLOURS`` or fewer occur, each is worked out once and looked up by
+    the pixels, otherwise every pixel is worked out.
     """
+    code = ["item_id", "py", "pcb", "pcr"]
+    if pixels.agg(F.approx_count_distinct(F.xxhash64(*code))).first()[0] > COLOURS:
+        return _displayed(pixels, media_color, dst_peak).select("item_id", "frame_id", "x", "y", "r", "g", "b")
+    seen = _displayed(pixels.select(code).distinct(), media_color, dst_peak).withColumnsRenamed({c: f"_{c}" for c in code})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in code])
+    return pixels.select(*code, "frame_id", "x", "y").join(F.broadcast(seen), same).select("item_id", "frame_id", "x", "y", "r", "g", "b")
+
+
+def _displayed(pixels: DataFrame, media_color: DataFrame, dst_peak: float) -> DataFrame:
+    """``pixels`` with display ``r``, ``g`` and ``b``."""
     p = pixels.join(media_color, "item_id")
     scale = F.pow(F.lit(2.0), F.col("bits") - 8)
     top = F.pow(F.lit(2.0), F.col("bits")) - 1
@@ -324,7 +340,7 @@ def normalise_footage(pixels: DataFrame, media_color: DataFrame, dst_peak: float
     m = F.greatest("_m.r", "_m.g", "_m.b")
     p = p.withColumn("_k", F.when(m > 0, cl.tone_ratio(m * cl.WHITE_NITS, F.col("peak_nits"), dst_peak)).otherwise(1.0))
     out = {k: cl.srgb_encode(cl.clamp(F.col(f"_m.{k}") * F.col("_k"))) for k in "rgb"}
-    return p.select("item_id", "frame_id", "x", "y", *[v.alias(k) for k, v in out.items()])
+    return p.select(*pixels.columns, *[v.alias(k) for k, v in out.items()])
 
 
 #: Most points of a lattice that is sent to all tasks as one array (24 bytes each).
