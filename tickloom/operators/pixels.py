@@ -473,6 +473,11 @@ def _blend(mode: str, b: list[Column], s: list[Column]) -> list[Column]:
 MODES = (*SEPARABLE, "darkerColor", "lighterColor", "hue", "saturation", "color", "luminosity")
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often it occurs."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def composite_layers(layers: DataFrame, modes: list[str] | None = None) -> DataFrame:
     """Premultiplied linear layers ``(frame_id, x, y, z, r, g, b, a, opacity, mode)`` over one another.
 
@@ -490,15 +495,24 @@ def composite_layers(layers: DataFrame, modes: list[str] | None = None) -> DataF
     stack = F.array_sort(F.collect_list(F.struct("z", *[(F.col(c) * F.col("opacity")).alias(c) for c in "rgba"], "mode")))
 
     def over(d, s):
-        enc = lambda q: [cl.srgb_encode(cl.clamp(F.when(q["a"] > 0, q[c] / q["a"]).otherwise(F.lit(0.0)))) for c in "rgb"]
-        b, t = enc(d), enc(s)
-        plain = [s[c] + d[c] * (1 - s["a"]) for c in "rgb"]
+        bare = lambda q: F.struct(*[cl.clamp(F.when(q["a"] > 0, q[c] / q["a"]).otherwise(F.lit(0.0))).alias(c) for c in "rgb"])
+        enc = lambda q: _once(bare(q), lambda v: F.struct(*[cl.srgb_encode(v[c]).alias(c) for c in "rgb"]))
+        alpha = (s["a"] + d["a"] * (1 - s["a"])).alias("a")
+        plain = F.struct(*[(s[c] + d[c] * (1 - s["a"])).alias(c) for c in "rgb"], alpha)
+
+        def blended(m):
+            def mix(both):
+                b, t = ([both[q][c] for c in "rgb"] for q in ("b", "t"))
+                seen = F.struct(*[cl.clamp(v).alias(c) for v, c in zip(_blend(m, b, t), "rgb")])
+                return _once(seen, lambda v: F.struct(*[((1 - d["a"]) * s[c] + d["a"] * s["a"] * cl.srgb_decode(v[c]) + (1 - s["a"]) * d[c]).alias(c) for c in "rgb"], alpha))
+
+            return _once(F.struct(enc(d).alias("b"), enc(s).alias("t")), mix)
+
+        # one choice a layer, and its values are bound: written out they would be worked out again wherever they occur
         mixed = plain
         for m in names:
-            lin = [cl.srgb_decode(cl.clamp(v)) for v in _blend(m, b, t)]
-            out = [(1 - d["a"]) * s[c] + d["a"] * s["a"] * lin[i] + (1 - s["a"]) * d[c] for i, c in enumerate("rgb")]
-            mixed = [F.when(s["mode"] == m, o).otherwise(x) for o, x in zip(out, mixed)]
-        return F.struct(*[v.alias(c) for v, c in zip(mixed, "rgb")], (s["a"] + d["a"] * (1 - s["a"])).alias("a"))
+            mixed = F.when(s["mode"] == m, blended(m)).otherwise(mixed)
+        return mixed
 
     zero = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])
     g = p.groupBy("frame_id", "x", "y").agg(stack.alias("_s"))
